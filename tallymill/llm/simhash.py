@@ -111,8 +111,9 @@ def _compare(key: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) ->
 
 
 def near_pairs(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """``(a, b)``: links, as a spanning forest of each tile, between the distinct
-    fingerprints of ``fps(fp)`` that differ in 1 to ``radius`` bits."""
+    """``(a, b)``: the links between distinct fingerprints of ``fps(fp)`` that
+    differ in at most ``radius`` bits, as a spanning forest of each tile: ``b``
+    is the first fingerprint of the tile that links of the tile reach from ``a``."""
     if radius >= len(BLOCKS):
         raise ValueError("the blocks guarantee pairs up to 2 bits")
     keyed = fps.select("fp", F.explode(F.array(*[_block(F.col("fp"), k) for k in range(len(BLOCKS))])).alias("key"))
