@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymill.llm import bpe, decontaminate, licenses, quality, simhash, toxicity
+from tallymill.llm import bpe, decontaminate, licenses, pivots, quality, simhash, toxicity, warc
 
 
 def tokenizer_file() -> str:
@@ -30,6 +30,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.train(docs, _table(spark, sf_dir, "labels"))).drop("spans")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_back(spark, warc.archive_pages(_table(spark, sf_dir, "pages")))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(_table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op8_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("detections")
 
@@ -50,9 +58,11 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
+    "op3_warc": op3_warc,
     "op4_simhash": op4_simhash,
     "op5_bpe": op5_bpe,
     "op7_quality": op7_quality,
+    "op8_pivots": op8_pivots,
     "op9_licenses": op9_licenses,
 }
 
