@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallymill.llm import bpe, decontaminate, licenses, pivots, quality, simhash, toxicity, warc
+from tallymill.llm import bpe, decontaminate, licenses, lines, pivots, quality, simhash, toxicity, warc
 
 
 def tokenizer_file() -> str:
@@ -42,6 +43,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"), "text")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_simhash": op4_simhash,
     "op5_bpe": op5_bpe,
+    "op6_lines": op6_lines,
     "op7_quality": op7_quality,
     "op8_pivots": op8_pivots,
     "op9_licenses": op9_licenses,
