@@ -250,6 +250,13 @@ def encode(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_co
     return _with_tokens(docs, tokenizer_file, id_col, text_col, "doc_id long, ids array<int>, decoded string", lambda c, ids: (ids, c.decode(ids)))
 
 
+def encode_corpus(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_tokens, ids, decoded_sha256)``: the training corpus, with the
+    digest of the text that its ids decode to."""
+    row = lambda c, ids: (len(ids), ids, sha256(c.decode(ids).encode()).hexdigest())
+    return _with_tokens(docs, tokenizer_file, id_col, text_col, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string", row)
+
+
 def encode_digests(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: the digests are taken
     where the tokens are made, so the tokens themselves need not travel."""

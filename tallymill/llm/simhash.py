@@ -31,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallymill.llm.common import as_bytes, components, forest, materialize
+from tallymill.llm.common import as_bytes, components, forest, materialize, output_name
 
 RADIUS = 2
 SHINGLE = 3
@@ -158,25 +159,54 @@ def near_pairs(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     return parts.mapInArrow(run, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """One row per row of ``docs``: ``(doc_id, fingerprint, component_id)``."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """``(id, fp)`` of each row, and ``(fp, root, component_id)`` of each fingerprint."""
     rows = materialize(fingerprints(docs, id_col, text_col), "simhash")
     heads = materialize(rows.groupBy("fp").agg(F.min("id").alias("head")), "simhash-heads")
     # Components over fingerprints; each then takes the smallest id under its fingerprints.
     linked = components(near_pairs(heads.select("fp"), radius, tile))
     grouped = heads.join(linked, heads["fp"] == linked["node"], "left").select(heads["fp"], "head", F.coalesce("component", heads["fp"]).alias("root"))
-    named = grouped.join(grouped.groupBy("root").agg(F.min("head").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp", "left").select(
+    return rows, grouped.join(grouped.groupBy("root").agg(F.min("head").alias("component_id")), "root").select("fp", "root", "component_id")
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """One row per row of ``docs``: ``(doc_id, fingerprint, component_id)``."""
+    rows, named = _classes(docs, id_col, text_col, radius, tile)
+    return rows.join(named.drop("root"), "fp", "left").select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+#: Ids up to this size are broadcast to filter the texts; more are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each component left: the one of smallest id.
 
-    Rows that repeat the kept id stay one; rows of null id in a component with
-    an id go, a component of only null ids keeps one row.
+    Rows that repeat the kept id stay one. Rows of null id go where their
+    component has an id; of a component of only null ids one row stays.
     """
-    found = simhash_components(docs, id_col, text_col, radius)
-    gone = found.where("component_id is not null and not (doc_id <=> component_id)").select(F.col("doc_id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns).dropDuplicates([id_col])
+    rows, named = _classes(docs, id_col, text_col, radius, TILE)
+    judged = materialize(rows.join(named, "fp", "left").select("id", "root", "component_id"), "simhash-judged")
+    gone = judged.where("id is not null and id <> component_id").select(F.col("id").alias(id_col)).distinct()
+    again = judged.where("id = component_id").groupBy("id").count().where("count > 1").select(F.col("id").alias(id_col))
+    known = docs.where(F.col(id_col).isNotNull())
+    size = gone.count() * 16
+    kept = known.join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone, id_col, "left_anti").select(docs.columns)
+    if again.limit(1).count():
+        kept = kept.join(again, id_col, "left_anti").select(docs.columns).unionByName(kept.join(again, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col]))
+    if judged.where("id is null").limit(1).count():
+        lost = docs.where(F.col(id_col).isNull())
+        probe, where = output_name(docs.columns, "fp"), len(docs.columns)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bits = np.fromiter(map(fingerprint, as_bytes(batch.column(where))), np.uint64, batch.num_rows)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:where], pa.array(bits.view(np.int64))], names=batch.schema.names)
+
+        schema = T.StructType([*docs.schema.fields, T.StructField(probe, T.LongType())])
+        marked = lost.withColumn(probe, F.col(text_col).cast("string")).mapInArrow(add, schema)
+        alone = named.where("component_id is null").select(F.col("fp").alias(probe), F.col("root").alias(f"{probe}_root"))
+        kept = kept.unionByName(marked.join(alone, probe).dropDuplicates([f"{probe}_root"]).select(docs.columns))
+    return kept

@@ -89,7 +89,7 @@ def test_empty_table(spark):
 
 
 def test_drop_keeps_one_of_each(spark):
-    rows = [(5, "a b c d", "x", 1), (3, "a b c d", "y", 2), (3, "a b c d", "y", 2), (7, "q w e r t", None, None), (None, "a b c d", "z", 3), (None, "only null", "z", 3)]
+    rows = [(5, "a b c d", "x", 1), (3, "a b c d", "y", 2), (3, "a b c d", "y", 2), (7, "q w e r t", None, None), (None, "a b c d", "z", 3), (None, "only null", "z", 3), (None, "only null", "z", 4), (None, "x1 y2 z3 w4 v5", "z", 5)]
     out = simhash.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA))
     assert out.columns == ["doc_id", "text", "fp", "node"]
-    assert sorted((r.doc_id if r.doc_id is not None else -1) for r in out.collect()) == [-1, 3, 7]
+    assert sorted((r.doc_id if r.doc_id is not None else -1) for r in out.collect()) == [-1, -1, 3, 7]
