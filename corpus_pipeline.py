@@ -1,8 +1,62 @@
-"""A training corpus from ``documents``, in stages."""
+"""A training corpus from ``documents``: each stage works on all its predecessor kept.
 
-STAGES = []
+Stages but the last return the columns of ``documents``; the last returns the
+token ids. ``run`` writes each stage's rows to the shared folder and reads them
+again, so a lost executor repeats one stage's tasks at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallymill.llm import bpe, decontaminate, lines, quality, simhash
+from tallymill.llm.common import materialize
+from tallymill.llm.queries import tokenizer_file
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep_good(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One line of each group of near-equal lines stays; all documents stay.
+    Where there is an ``n_chars``, it follows the text."""
+    out = lines.dedup_lines(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with the digest of what they decode to."""
+    return bpe.encode_corpus(docs, tokenizer_file())
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("line dedup", dedup_lines),
+    ("SimHash near-dedup", dedup_documents),
+    ("benchmark decontamination", drop_benchmark),
+    ("BPE encoding and decoding", encode),
+]
+
+#: The classifier's tables and the tokens are beyond SQL; tests compare with plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage for the whole of ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.split(' ')[0].lower()}")
+    return STAGES[-1][1](spark, docs, sf_dir)
