@@ -24,7 +24,6 @@ both classes every score is the smoothed share of toxic rows.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -38,8 +37,8 @@ from tallymill.llm.decontaminate import words
 from tallymill.llm.labelled import held_out, sample_ids, sample_rows
 
 #: Toxic documents; of clean ones three times as many.
-SAMPLE = 2500
-SAMPLE_BYTES = 1 << 15
+SAMPLE = 2000
+SAMPLE_BYTES = 1 << 14
 THRESHOLD = 0.5
 CHUNK = 128
 RARE = 8
@@ -186,16 +185,24 @@ class Chain:
         if not 0 < y.sum() < len(y):
             return self
         self.flat = False
-        tokens = [words(t) for t in texts]
-        marked = self._mark(tokens, y)
+        # words as numbers: each word's features are made once, the texts are small arrays
+        number: dict[bytes, int] = {}
+        tokens = []
+        for t in texts:
+            w = words(t)
+            tokens.append(np.fromiter((number.setdefault(x, len(number)) for x in w), np.int32, len(w)))
+        own = _without_copies(tokens)
+        if 0 < y[own].sum() < len(own):
+            tokens, y = [tokens[k] for k in own], y[own]
+        sample = _Sample(list(number), tokens, y)
         # the field learns from two thirds, the document's score from the rest, which the field has not seen
         third = np.arange(len(y)) % 3 == 0
         if not 0 < y[third].sum() < third.sum():
             third[:] = True
-        seen = np.flatnonzero(~third if not third.all() else third)
-        self._climb([tokens[k] for k in seen], y[seen], marked)
-        tokens, y = [tokens[k] for k in np.flatnonzero(third)], y[third]
-        sums = np.array([self.summary(m) for m in self.marginals([np.array([self.emission(w) for w in t]) for t in tokens])])
+        self._climb(sample, np.flatnonzero(~third if not third.all() else third))
+        power = np.add.reduceat(self.weight[sample.slots], sample.first[:-1]) + self.bias if len(sample.slots) else np.zeros(0)
+        sums = np.array([self.summary(m) for m in self.marginals([power[tokens[k]] for k in np.flatnonzero(third)])])
+        y = y[third]
         for _ in range(400):  # Newton steps with a weak prior
             p = 1 / (1 + np.exp(-np.clip(sums @ self.doc, -35, 35)))
             grad = sums.T @ (y - p) - 0.05 * self.doc
@@ -206,72 +213,38 @@ class Chain:
                 break
         return self
 
-    @staticmethod
-    def _mark(tokens: list[list[bytes]], y: np.ndarray) -> set[bytes]:
-        """Features that mark a word of a toxic document: by chance alone a
-        feature of that many documents would not be in toxic ones only."""
-        seen = [Counter(), Counter()]
-        cache: dict[bytes, list[bytes]] = {}
-        for t, label in zip(tokens, y):
-            found: set[bytes] = set()
-            for w in set(t):
-                if w not in cache:
-                    cache[w] = word_features(w)
-                found.update(cache[w])
-            seen[int(label)].update(found)
-        share = y.mean()
-        clean = len(y) - y.sum()
-        return {f for f, n in seen[1].items() if n * np.log(share) < np.log(1e-6) and seen[0][f] <= 0.02 * n * clean / y.sum()}
-
-    def _climb(self, tokens: list[list[bytes]], y: np.ndarray, marked: set[bytes], width: int = 32, most: int = 24_000, rounds: int = 40) -> None:
-        """Gradient ascent (Adagrad) on windows of the sample: those around marked
-        words and, for each class, evenly spread ones."""
+    def _climb(self, sample: _Sample, chosen: np.ndarray, width: int = 32, most: int = 16_000, rounds: int = 40) -> None:
+        """Gradient ascent (Adagrad) on windows of the chosen documents: those
+        around marked words and evenly spread ones."""
         rng = np.random.default_rng(7)
-        is_marked: dict[bytes, bool] = {}
-        spans, state = [], []
-        for t, label in zip(tokens, y):
-            z = np.zeros(len(t), bool)
-            if label:
-                for k, w in enumerate(t):
-                    if w not in is_marked:
-                        is_marked[w] = not marked.isdisjoint(word_features(w))
-                    z[k] = is_marked[w]
-            state.append(z)
-        for d, t in enumerate(tokens):
-            if not t:
-                continue
-            hits = np.flatnonzero(state[d])
-            starts = {max(0, int(h) - int(rng.integers(width))) for h in hits[:6]} | {int(rng.integers(max(1, len(t) - width + 1))) for _ in range(2)}
-            spans += [(d, s) for s in starts]
-        spans = [spans[k] for k in sorted(rng.permutation(len(spans))[:most])]
+        spans = []
+        for d in chosen.tolist():
+            n = len(sample.tokens[d])
+            if n:
+                hits = np.flatnonzero(sample.state(d))
+                starts = {max(0, int(h) - int(rng.integers(width))) for h in hits[:6]} | {int(rng.integers(max(1, n - width + 1))) for _ in range(2)}
+                spans += [(d, s) for s in sorted(starts)]
+        spans = [spans[k] for k in np.sort(rng.permutation(len(spans))[:most])]
         n = len(spans)
-        # weights only for features of at least RARE documents: rarer ones would be learnt by heart
-        spread = np.zeros(_TABLE, np.int64)
-        index: dict[bytes, list[int]] = {}
-        for t in tokens:
-            here: set[int] = set()
-            for w in set(t):
-                if w not in index:
-                    index[w] = _slots(w)
-                here.update(index[w])
-            spread[list(here)] += 1
-        usable = spread >= RARE
-        index = {w: [k for k in slots if usable[k]] for w, slots in index.items()}
-        mask, z = np.zeros((n, width), bool), np.zeros((n, width))
-        token_row, slot = [], []
+        mask, z, word = np.zeros((n, width), bool), np.zeros((n, width)), np.zeros((n, width), np.int64)
         for i, (d, s) in enumerate(spans):
-            part = tokens[d][s : s + width]
+            part = sample.tokens[d][s : s + width]
             mask[i, : len(part)] = True
-            z[i, : len(part)] = state[d][s : s + len(part)]
-            for k, w in enumerate(part):
-                slot += index[w]
-                token_row += [i * width + k] * len(index[w])
-        slot, token_row = np.array(slot), np.array(token_row)
+            word[i, : len(part)] = part
+            z[i, : len(part)] = sample.state(d)[s : s + width]
+        usable = sample.spread[sample.slots] >= RARE
+        met, back = np.unique(word[mask], return_inverse=True)
+        # features of the words met, once each; gradients gather by word first
+        sizes = np.diff(sample.first)[met]
+        slot_at = np.repeat(sample.first[met], sizes) + np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        owner = np.repeat(np.arange(len(met)), sizes)[usable[slot_at]]
+        slot = sample.slots[slot_at[usable[slot_at]]]
         pair = mask[:, 1:] & mask[:, :-1]
         seen_trans = np.array([[(((1 - z[:, :-1]) if i == 0 else z[:, :-1]) * ((1 - z[:, 1:]) if j == 0 else z[:, 1:]) * pair).sum() for j in (0, 1)] for i in (0, 1)])
         power_w, power_t, power_b = np.full(_TABLE, 1e-8), np.full((2, 2), 1e-8), 1e-8
+        e = np.zeros((n, width))
         for _ in range(rounds):
-            e = np.bincount(token_row, self.weight[slot], n * width).reshape(n, width) + self.bias
+            e[mask] = (np.bincount(owner, self.weight[slot], len(met)) + self.bias)[back]
             odds, a = np.exp(np.clip(e, -30, 30)), np.exp(self.trans)
             f = np.zeros((width, n, 2))
             x, v = np.ones(n), odds[:, 0]
@@ -294,8 +267,8 @@ class Chain:
                     nb = np.stack([a[0, 0] * b[:, 0] + a[0, 1] * o * b[:, 1], a[1, 0] * b[:, 0] + a[1, 1] * o * b[:, 1]], 1)
                     nb /= nb.sum(1, keepdims=True)
                     b = np.where(mask[:, t, None], nb, b)
-            miss = ((z - share) * mask).ravel()
-            gw = np.bincount(slot, miss[token_row], _TABLE) - 0.05 * self.weight
+            miss = (z - share)[mask]
+            gw = np.bincount(slot, np.bincount(back, miss, len(met))[owner], _TABLE) - 0.05 * self.weight
             gt, gb = seen_trans - want_trans - 0.05 * self.trans, miss.sum()
             power_w += gw**2
             power_t += gt**2
@@ -303,10 +276,58 @@ class Chain:
             self.weight += 0.5 * gw / np.sqrt(power_w)
             self.trans += 0.2 * gt / np.sqrt(power_t)
             self.bias += 0.2 * gb / np.sqrt(power_b)
-        self.start = np.zeros(2)
         self.known.clear()
 
 
+def _without_copies(tokens: list[np.ndarray]) -> list[int]:
+    """Documents of the sample that are no near copies of earlier ones: the words
+    of one text copied many times would look like marks of its class. Copies
+    share one of four minima over hashed four-word runs."""
+    seen: set[tuple[int, int]] = set()
+    keep = []
+    masks = np.random.default_rng(3).integers(0, 1 << 63, 4).astype(np.uint64)
+    for d, t in enumerate(tokens):
+        x = t.astype(np.uint64) + np.uint64(1)
+        runs = np.zeros(max(1, len(x) - 3), np.uint64)
+        for k in range(min(4, len(x))):
+            runs = (runs ^ x[k : k + len(runs)]) * np.uint64(0x9E3779B97F4A7C15)
+            runs ^= runs >> np.uint64(29)
+        marks = {(k, int((runs ^ m).min())) for k, m in enumerate(masks)}
+        if seen.isdisjoint(marks):
+            keep.append(d)
+        seen |= marks
+    return keep
+
+
+class _Sample:
+    """Numbered training texts with the features of each word.
+
+    ``slots[first[w] : first[w + 1]]`` are the table slots of word w, ``spread``
+    the documents of each slot. A word of a toxic document is marked if one of
+    its features is in so many toxic documents, and next to no clean ones, that
+    chance does not explain it.
+    """
+
+    def __init__(self, vocab: list[bytes], tokens: list[np.ndarray], y: np.ndarray):
+        self.tokens, self.y = tokens, y
+        listed = [_slots(w) for w in vocab]
+        self.first = np.concatenate(([0], np.cumsum([len(s) for s in listed]))).astype(np.int64)
+        self.slots = np.array([k for s in listed for k in s], np.int64)
+        seen = np.zeros((2, _TABLE), np.int64)
+        for t, label in zip(tokens, y):
+            if len(t):
+                here = np.unique(np.concatenate([self.slots[self.first[w] : self.first[w + 1]] for w in np.unique(t)]))
+                seen[int(label), here] += 1
+        self.spread = seen.sum(axis=0)
+        clean, toxic = len(y) - y.sum(), y.sum()
+        marks = (seen[1] * np.log(y.mean()) < np.log(1e-6)) & (seen[0] <= 0.02 * seen[1] * clean / toxic)
+        self.marked = np.maximum.reduceat(marks[self.slots], self.first[:-1]) if len(self.slots) else np.zeros(0, bool)
+
+    def state(self, d: int) -> np.ndarray:
+        """Token labels of a document."""
+        return self.marked[self.tokens[d]] if self.y[d] else np.zeros(len(self.tokens[d]), bool)
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """At most four times ``sample`` texts of at most ``SAMPLE_BYTES`` reach the driver."""
     short = docs.where(F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)) <= SAMPLE_BYTES)
