@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def round_decimal(c: Column, places: int) -> Column:
@@ -16,7 +17,7 @@ def round_exact(places: int):
     """Half-even rounding of the exact binary value (2.675 to 2.67). The JVM rounds
     the shortest decimal instead, so this one is a vectorised Python function."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def rounded(s: pd.Series) -> pd.Series:
         return s.map(lambda v: None if pd.isna(v) else round(float(v), places))
 

@@ -12,6 +12,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def canonical(value: object) -> str:
@@ -24,7 +25,7 @@ def json_rows(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key), F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("json"))
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def gzip_size(s: pd.Series) -> pd.Series:
     """Compressed bytes of each payload."""
     return s.map(lambda t: len(gzip.compress((t or "").encode(), 9, mtime=0)))

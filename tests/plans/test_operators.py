@@ -132,5 +132,5 @@ def test_stream_equals_batch(spark, tmp_path):
     folder = "/root/testdata/sf0.001"
     ingest.run_available(ingest.windowed_counts(ingest.event_stream(spark, folder)), str(tmp_path / "o"), str(tmp_path / "c"))
     done = spark.read.parquet(str(tmp_path / "o"))
-    batch = spark.read.parquet(f"{folder}/events.parquet").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+    batch = spark.read.parquet(f"{folder}/events.parquet").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").cast("timestamp").alias("start"), "event_type", "n")
     assert done.count() > 0 and done.select("start", "event_type", "n").subtract(batch).count() == 0
