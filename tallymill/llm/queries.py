@@ -23,7 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("hits", "items")
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("hits", "items", "longest_match")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +79,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+ v AS (SELECT DISTINCT item_id, least(10, len(w)) AS k, list_slice(w, p, p + least(10, len(w)) - 1) AS s FROM b, unnest(range(1, len(w) - least(10, len(w)) + 2)) t(p) WHERE len(w) > 0),
+ k AS (SELECT DISTINCT k FROM v), o AS (SELECT r, p, k, list_slice(w, p, p + k - 1) AS s FROM d, k, unnest(range(1, len(w) - k + 2)) t(p)),
+ h AS (SELECT r, p, k, item_id FROM o JOIN v USING (k, s)), m AS (SELECT r, count(DISTINCT p + j) AS n_hit FROM (SELECT DISTINCT r, p, k FROM h), unnest(range(0, k)) t(j) GROUP BY r),
+ i AS (SELECT r, count(item_id) AS n_items, string_agg(item_id::varchar, ',' ORDER BY item_id::varchar) AS items FROM (SELECT DISTINCT r, item_id FROM h) GROUP BY r)
+ SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN m USING (r) LEFT JOIN i USING (r)""",
+    "op3_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages), r AS (SELECT h, min(page_id) AS m FROM p WHERE n >= 100 GROUP BY h)
+ SELECT page_id, n::bigint AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN page_id <> m THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to FROM p LEFT JOIN r USING (h)""",
+    "op8_pivots": """WITH RECURSIVE v AS (SELECT vec_id, embedding::double[] AS x FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+ e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.9),
+ reach AS (SELECT vec_id AS a, vec_id AS c FROM embeddings UNION SELECT e.a, r.c FROM e JOIN reach r ON r.a = e.b),
+ n AS (SELECT a, count(*) AS links FROM e GROUP BY a)
+ SELECT r.a AS vec_id, coalesce(any_value(n.links), 0)::bigint AS n_links, min(r.c) AS component_id, min(r.c) = r.a AS kept FROM reach r LEFT JOIN n ON n.a = r.a GROUP BY r.a""",
+}
