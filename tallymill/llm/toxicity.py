@@ -41,16 +41,19 @@ SAMPLE = 2000
 SAMPLE_BYTES = 1 << 14
 THRESHOLD = 0.5
 CHUNK = 128
-RARE = 8
+#: Documents a feature must be in to get a weight: a part of the sample, within these bounds.
+RARE = (3, 8)
+#: How likely chance alone may explain a mark.
+CHANCE = 1e-4
 _TABLE = 1 << 18
 #: The words of ``words`` in a text that keeps its case.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def word_features(word: bytes) -> list[bytes]:
-    """The word, its beginnings of 3 to 6 letters and ends of 3 and 4."""
+    """The word, its beginnings of 3 to 8 letters and ends of 3 and 4."""
     s = word.decode("utf-8", "replace")
-    parts = [f"w{s}", *(f"p{s[:k]}" for k in (3, 4, 5, 6) if len(s) > k), *(f"s{s[-k:]}" for k in (3, 4) if len(s) > k)]
+    parts = [f"w{s}", *(f"p{s[:k]}" for k in (3, 4, 5, 6, 7, 8) if len(s) > k), *(f"s{s[-k:]}" for k in (3, 4) if len(s) > k)]
     return [p.encode() for p in parts]
 
 
@@ -232,7 +235,7 @@ class Chain:
             mask[i, : len(part)] = True
             word[i, : len(part)] = part
             z[i, : len(part)] = sample.state(d)[s : s + width]
-        usable = sample.spread[sample.slots] >= RARE
+        usable = sample.spread[sample.slots] >= min(RARE[1], max(RARE[0], len(sample.y) // 800))
         met, back = np.unique(word[mask], return_inverse=True)
         # features of the words met, once each; gradients gather by word first
         sizes = np.diff(sample.first)[met]
@@ -320,7 +323,7 @@ class _Sample:
                 seen[int(label), here] += 1
         self.spread = seen.sum(axis=0)
         clean, toxic = len(y) - y.sum(), y.sum()
-        marks = (seen[1] * np.log(y.mean()) < np.log(1e-6)) & (seen[0] <= 0.02 * seen[1] * clean / toxic)
+        marks = (seen[1] * np.log(y.mean()) < np.log(CHANCE)) & (seen[0] <= 0.02 * seen[1] * clean / toxic)
         self.marked = np.maximum.reduceat(marks[self.slots], self.first[:-1]) if len(self.slots) else np.zeros(0, bool)
 
     def state(self, d: int) -> np.ndarray:
