@@ -33,7 +33,8 @@ def test_stages(spark, tmp_path):
     quality, lines, near, clean = seen
     assert {i for i, _ in good} <= quality and not quality & {i for i, _ in junk}
     assert lines == quality
-    assert 0 in near and 2000 not in near
+    # the copy lost all its lines, so it is one of the empty documents, of which one stays
+    assert 0 in near and len({2000, 2003, 2004} & near) == 1
     assert 2002 in near and 2002 not in clean and {i for i, _ in good} <= clean
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == clean
