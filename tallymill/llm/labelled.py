@@ -14,6 +14,14 @@ def held_out(id_col: Column | str) -> Column:
     return F.coalesce(F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(True))
 
 
+def low_hashes(order: Column, wanted: int, total: int) -> Column:
+    """Whether a 64-bit hash is among the lowest share in which some more than
+    ``wanted`` of ``total`` rows are expected. A filter ahead of a sorted limit, so
+    that tasks hand over what is needed and not ``wanted`` rows each."""
+    share = min(1.0, (1.5 * wanted + 100) / max(1, total))
+    return F.lit(True) if share >= 1 else order < F.lit(int(-(1 << 63) + share * (1 << 64)))
+
+
 def sample_ids(labels: DataFrame, label_col: str, per_class: dict[int, int], id_col: str = "doc_id") -> DataFrame:
     """``(id, label)``: of each class at most so many learnable ids, lowest hash
     first, so the choice doesn't depend on partitions. An id labelled both ways
@@ -21,7 +29,8 @@ def sample_ids(labels: DataFrame, label_col: str, per_class: dict[int, int], id_
     one = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null")
     one = one.where(~held_out("id")).groupBy("id").agg(F.max("label").alias("label"))
     order = F.xxhash64(F.lit("sample"), F.col("id"))
-    parts = [one.where(F.col("label") == k).orderBy(order, "id").limit(n) for k, n in sorted(per_class.items())]
+    sizes = {r.label: r["count"] for r in one.where(F.col("label").isin(list(per_class))).groupBy("label").count().collect()}
+    parts = [one.where((F.col("label") == k) & low_hashes(order, n, sizes.get(k, 0))).orderBy(order, "id").limit(n) for k, n in sorted(per_class.items())]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

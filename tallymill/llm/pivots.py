@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm.common import components, forest, materialize
+from tallymill.llm.labelled import low_hashes
 
 COSINE = 0.9
 NEAREST = 6
@@ -128,10 +129,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     count = classes.count()
     size = int(min(MAX_PIVOTS, max(MIN_PIVOTS, 2 * count**0.5)))
-    dims = [r.d for r in classes.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()]  # one row a vector length
+    dims = {r.d: r["count"] for r in classes.groupBy(F.size("v").alias("d")).count().collect()}  # one row a vector length
     sample: dict[int, np.ndarray] = {}
-    for d in dims:
-        got = classes.where(F.size("v") == d).orderBy("h1", "h2").limit(SAMPLE).select("v").collect()
+    for d, have in sorted(dims.items()):
+        got = classes.where((F.size("v") == d) & low_hashes(F.col("h1"), SAMPLE, have)).orderBy("h1", "h2").limit(SAMPLE).select("v").collect()
         sample[d] = choose_pivots(np.array([r.v for r in got], np.float64).reshape(len(got), d), size)
     pivots = spark.sparkContext.broadcast(sample)
 
