@@ -9,8 +9,9 @@
 3. ``BANDS`` bands of ``ROWS`` minima: lines of similarity 0.8 meet in some band
    with probability 0.974, of 0.85 with 0.996, of 0.9 with 0.9999.
 4. Each band bucket first links its members to one representative. After the
-   verified links are contracted, only members of *different* components in
-   one bucket are paired again: a crowd of near copies costs linear rows, and
+   verified links are contracted, ``STARS`` rounds do the same with one member of
+   each component of a bucket and one of its largest. Then only members of
+   *different* components in one bucket are paired: a crowd of near copies costs linear rows, and
    no link between different texts that banding offers is skipped.
 5. Candidates are verified by exact Jaccard similarity of their shingle sets;
    distributed union-find makes components; the first place of each stays.
@@ -36,6 +37,8 @@ from tallymill.llm.common import components, discard, materialize, output_name
 SIMILARITY = 0.8
 SHINGLE = 8
 BANDS, ROWS = 12, 6
+#: Further rounds of representatives before the rest is paired.
+STARS = 2
 BROADCAST_BYTES = 32 << 20
 _RANDOM = random.Random(17)
 _MASKS = [_RANDOM.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
@@ -94,6 +97,11 @@ def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     return lines.select("h1", "h2", "line").join(bounded(wanted, 48), ["h1", "h2"]).groupBy("node").agg(F.first("line").alias("line"))
 
 
+def _rooted(met: DataFrame, found: DataFrame) -> DataFrame:
+    """Bucket members with their component so far."""
+    return met.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("root"))
+
+
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """``(id, th, drop)``: of each document with lines that go, their numbers."""
     spark = docs.sparkSession
@@ -108,14 +116,27 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = materialize(met.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct(), "line-pairs")
     touched = met.select("node").distinct()
     texts = materialize(_texts(lines, names.join(touched, "node", "left_semi")), "line-texts")
-    links = materialize(verified(first, texts, similarity, shingle), "line-links")
-    found = components(links)
-
-    rooted = met.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("root"))
+    links = link0 = materialize(verified(first, texts, similarity, shingle), "line-links")
+    found, tried, scratch = components(links), first, []
+    rooted = _rooted(met, found)
+    for k in range(STARS):
+        # one member of each component of a bucket meets one of the bucket's largest
+        pick = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node")
+        reps = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), F.min(pick).alias("rep")).select("key", "root", "n", "rep.node")
+        hubs = reps.groupBy("key").agg(F.max(F.struct("n", "node", "root")).alias("hub"), F.count("*").alias("roots")).where("roots > 1")
+        star = reps.join(hubs, "key").where("root <> hub.root").select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")).distinct()
+        star = materialize(star.join(tried, ["a", "b"], "left_anti"), "line-pairs")
+        got = materialize(verified(star, texts, similarity, shingle), "line-links")
+        scratch += [star, got]
+        tried, links = tried.unionByName(star), links.unionByName(got)
+        if not got.limit(1).count():
+            break
+        found = components(links)
+        rooted = _rooted(met, found)
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     open_ = materialize(rooted.join(mixed, "key", "left_semi"), "line-open")
     x, y = open_.select("key", F.col("node").alias("b"), F.col("root").alias("rb")), open_.select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
-    more = x.join(y, "key").where("a > b and ra <> rb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    more = x.join(y, "key").where("a > b and ra <> rb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     links2 = materialize(verified(more, texts, similarity, shingle), "line-links")
     node_class = components(links.unionByName(links2))
 
@@ -129,7 +150,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keep = copied.join(heads, "component", "left").select("h1", "h2", F.coalesce("head", "first").alias("keep"))
     gone = lines.select("id", "th", "pos", "h1", "h2").join(bounded(keep, 120), ["h1", "h2"]).where(_last_nulls("id") != F.col("keep"))
     out = materialize(gone.groupBy("id", "th").agg(F.sort_array(F.collect_set("pos")).alias("drop")), "line-drops")
-    for old in (sig, shared, met, first, texts, links, open_, links2, places, copied):
+    for old in (sig, shared, met, first, texts, link0, open_, links2, places, copied, *scratch):
         discard(spark, old.scratch)
     return out
 
