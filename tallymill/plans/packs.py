@@ -66,12 +66,22 @@ def nearest_event(spark: SparkSession, d: str) -> DataFrame:
 
 @query("range_panels", "WITH p AS (SELECT p_partkey % 97 AS panel, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part GROUP BY 1) SELECT o_orderkey AS match_id, panel::bigint AS panel FROM orders JOIN p ON o_totalprice / 100 >= lo AND o_totalprice / 100 < hi WHERE o_orderkey % 10 = 3")
 def range_panels(spark: SparkSession, d: str) -> DataFrame:
-    """Titles assigned to the panels whose range holds their centre."""
+    """A tenth of ``whole_range_panels``: the part that its SQL asks for."""
+    return _panels(spark, d, table(spark, d, "orders").where("o_orderkey % 10 = 3"))
+
+
+def _panels(spark: SparkSession, d: str, orders: DataFrame) -> DataFrame:
     p = table(spark, d, "part").groupBy((F.col("p_partkey") % 97).alias("panel")).agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"))
-    o = table(spark, d, "orders").where("o_orderkey % 10 = 3").select(F.col("o_orderkey").alias("match_id"), (F.col("o_totalprice") / 100).alias("x"))
+    o = orders.select(F.col("o_orderkey").alias("match_id"), (F.col("o_totalprice") / 100).alias("x"))
     return matching.in_interval(o, "x", p, "lo", "hi", 100.0).select("match_id", "panel")
 
 
+@query("whole_range_panels", "WITH p AS (SELECT p_partkey % 97 AS panel, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part GROUP BY 1) SELECT o_orderkey AS match_id, panel::bigint AS panel FROM orders JOIN p ON o_totalprice / 100 >= lo AND o_totalprice / 100 < hi")
+def whole_range_panels(spark: SparkSession, d: str) -> DataFrame:
+    """Titles assigned to the panels whose range holds their centre."""
+    return _panels(spark, d, table(spark, d, "orders"))
+
+
 _POINTS = "pts AS (SELECT vec_id AS id, vec_id % 8 AS page, embedding[1]::double * 100 AS x, embedding[2]::double * 100 AS y FROM embeddings)"
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallymill.functions import numbers, text
 from tallymill.operators import checks, matching, publish, ranking, sequence
+from tallymill.plans.catalog import QUERIES
 from tallymill.sources import tables
 from tallymill.streaming import ingest
 
@@ -134,3 +135,17 @@ def test_stream_equals_batch(spark, tmp_path):
     done = spark.read.parquet(str(tmp_path / "o"))
     batch = spark.read.parquet(f"{folder}/events.parquet").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").cast("timestamp").alias("start"), "event_type", "n")
     assert done.count() > 0 and done.select("start", "event_type", "n").subtract(batch).count() == 0
+
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def test_panels_cover_all_orders(spark):
+    prices = {}
+    for r in spark.read.parquet(f"{FOLDER}/part.parquet").collect():
+        lo, hi = prices.get(r.p_partkey % 97, (r.p_retailprice, r.p_retailprice))
+        prices[r.p_partkey % 97] = min(lo, r.p_retailprice), max(hi, r.p_retailprice)
+    orders = spark.read.parquet(f"{FOLDER}/orders.parquet").collect()
+    want = sorted((o.o_orderkey, p) for o in orders for p, (lo, hi) in prices.items() if lo <= o.o_totalprice / 100 < hi)
+    assert any(k % 10 != 3 for k, _ in want)
+    assert sorted(col(QUERIES["whole_range_panels"](spark, FOLDER))) == want
