@@ -91,11 +91,21 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
 
 @query("close_labels", f"WITH {_POINTS} SELECT a.id AS marker, b.id AS label, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 5.625 AS near FROM pts a JOIN pts b ON a.page = b.page AND a.id % 2 = 0 AND b.id % 2 = 0 AND a.id < b.id WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 5.625")
 def close_labels(spark: SparkSession, d: str) -> DataFrame:
-    p = _points(spark, d).where("id % 2 = 0")
+    """The even half of ``whole_close_labels``: the part that its SQL asks for."""
+    return _close(_points(spark, d).where("id % 2 = 0"))
+
+
+def _close(p: DataFrame) -> DataFrame:
     a, b = p.select("page", F.col("id").alias("marker"), F.col("x").alias("ax"), F.col("y").alias("ay")), p.select("page", F.col("id").alias("label"), F.col("x").alias("bx"), F.col("y").alias("by_"))
     return matching.close_pairs(a, b, ["page"], 5.625).where("marker < label").select("marker", "label", F.lit(True).alias("near"))
 
 
+@query("whole_close_labels", f"WITH {_POINTS} SELECT a.id AS marker, b.id AS label, true AS near FROM pts a JOIN pts b ON a.page = b.page AND a.id < b.id WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 5.625")
+def whole_close_labels(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of points of a page within the distance."""
+    return _close(_points(spark, d))
+
+
 @query("linked_markers")
 def linked_markers(spark: SparkSession, d: str) -> DataFrame:
     """Markers and labels one to one, nearest first."""

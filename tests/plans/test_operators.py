@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import math
 import random
 
 import pytest
@@ -149,3 +150,11 @@ def test_panels_cover_all_orders(spark):
     want = sorted((o.o_orderkey, p) for o in orders for p, (lo, hi) in prices.items() if lo <= o.o_totalprice / 100 < hi)
     assert any(k % 10 != 3 for k, _ in want)
     assert sorted(col(QUERIES["whole_range_panels"](spark, FOLDER))) == want
+
+
+def test_close_labels_cover_all_pages(spark):
+    points = [(r.vec_id, r.embedding[0] * 100, r.embedding[1] * 100) for r in spark.read.parquet(f"{FOLDER}/embeddings.parquet").collect()]
+    want = {(i, j) for i, x, y in points for j, u, v in points if i < j and i % 8 == j % 8 and math.hypot(x - u, y - v) <= 5.625}
+    assert {i % 8 for i, _ in want} == set(range(8))
+    got = [(r.marker, r.label) for r in QUERIES["whole_close_labels"](spark, FOLDER).collect()]
+    assert len(got) == len(want) and set(got) == want
