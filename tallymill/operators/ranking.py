@@ -47,3 +47,17 @@ def band_of(value: Column, thresholds: Column) -> Column:
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "position") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("bigint")).where(F.col(name) <= k)
+
+
+def table_positions(df: DataFrame, orders: dict[str, Column], key: str, id_: str, width: int = 8192) -> DataFrame:
+    """Row numbers over the whole table, a column for each of ``orders`` of ``key``;
+    ties go by ``id_``. Rows are numbered within cells of a key and ``width`` ids,
+    and the sizes of the cells before are added, so no task holds all rows."""
+    celled = df.withColumn("cell_", F.floor(F.col(id_) / width))
+    own = celled.withColumn("k_", F.row_number().over(Window.partitionBy(key, "cell_").orderBy(id_)))
+    sizes = celled.groupBy(F.col(key).alias("key_"), F.col("cell_").alias("at_")).agg(F.count("*").alias("n_"))
+    # one row for each cell: a table of N ids and K keys has K * N / width of them
+    before = lambda o: F.sum("n_").over(Window.orderBy(o, "at_").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("key_", "at_", *(F.coalesce(before(o), F.lit(0)).alias(f"b_{name}") for name, o in orders.items()))
+    met = own.join(sizes, F.col(key).eqNullSafe(F.col("key_")) & F.col("cell_").eqNullSafe(F.col("at_")))
+    return met.select(*df.columns, *((F.col("k_") + F.col(f"b_{name}")).cast("bigint").alias(name) for name in orders))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallymill.operators.ranking import band_of, cap_with_ties, competition_rank, quantile_thresholds, total_rank
+from tallymill.operators.ranking import band_of, cap_with_ties, competition_rank, quantile_thresholds, table_positions, total_rank
 from tallymill.plans.facts import METRICS, exact_avg, exact_sum, matches, player_match, sides, unpivoted
 from tallymill.plans.registry import GAMES, LONG, SIDES, STATS, query
 from tallymill.sources.tables import table
@@ -254,6 +254,16 @@ def results_by_stage(spark: SparkSession, d: str) -> DataFrame:
     return own.crossJoin(F.broadcast(sizes)).select("stage", "match_id", "home", "away", "home_goals", "away_goals", (F.col("k") + before).alias("position"))
 
 
+@query(
+    "whole_results_by_stage",
+    f"""WITH {GAMES} SELECT stage, match_id, home, away, home_goals, away_goals, row_number() OVER (ORDER BY stage, match_id) AS position FROM games WHERE stage > 1""",
+)
+def whole_results_by_stage(spark: SparkSession, d: str) -> DataFrame:
+    """All knockout results by stage ordinal, then match number; ``results_by_stage`` has the late stages that its SQL asks for."""
+    knockouts = matches(spark, d).where("stage > 1").select("stage", "match_id", "home", "away", "home_goals", "away_goals")
+    return table_positions(knockouts, {"position": F.col("key_")}, "stage", "match_id")
+
+
 @query(
     "quintile_bands",
     """WITH e AS (SELECT l_suppkey % 50 AS team, l_suppkey AS src, l_partkey AS dst, sum(l_quantity)::bigint AS weight FROM lineitem GROUP BY ALL),

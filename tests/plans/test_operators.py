@@ -158,3 +158,20 @@ def test_close_labels_cover_all_pages(spark):
     assert {i % 8 for i, _ in want} == set(range(8))
     got = [(r.marker, r.label) for r in QUERIES["whole_close_labels"](spark, FOLDER).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_table_positions(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), k) for k in range(60)]
+    df = spark.createDataFrame(rows, "s string, id long")
+    got = ranking.table_positions(df, {"up": F.col("key_").asc_nulls_last(), "down": F.col("key_").desc_nulls_last()}, "s", "id", width=7)
+    rank = lambda order: {i: n for n, (_, i) in enumerate(sorted(rows, key=lambda r: (order[r[0]], r[1])), 1)}
+    up, down = rank({"a": 0, "b": 1, None: 2}), rank({"b": 0, "a": 1, None: 2})
+    assert sorted((r.id, r.up, r.down) for r in got.collect()) == [(k, up[k], down[k]) for k in range(60)]
+
+
+def test_results_have_all_knockouts(spark):
+    rows = QUERIES["whole_results_by_stage"](spark, FOLDER).orderBy("position").collect()
+    assert {r.stage for r in rows} == {r.stage for r in QUERIES["match_rows"](spark, FOLDER).where("stage > 1").collect()} > {4, 5}
+    assert [r.position for r in rows] == list(range(1, len(rows) + 1))
+    assert [(r.stage, r.match_id) for r in rows] == sorted((r.stage, r.match_id) for r in rows)
