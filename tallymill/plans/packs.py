@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallymill.functions import numbers, text
 from tallymill.operators import checks, matching, sequence
 from tallymill.operators.publish import json_rows, lost_pins
-from tallymill.operators.ranking import top_k
+from tallymill.operators.ranking import table_positions, top_k
 from tallymill.plans.facts import exact_sum, matches, player_match
 from tallymill.plans.registry import GAMES, STATS, query
 from tallymill.sources.tables import manifest_of_names, table
@@ -258,12 +258,22 @@ def top5_zip(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stable_sort_nulls_last", "WITH t AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 > 0 THEN c_mktsegment END AS s FROM customer) SELECT id, s, row_number() OVER (ORDER BY s ASC NULLS LAST, id) AS up, row_number() OVER (ORDER BY s DESC NULLS LAST, id) AS down FROM t WHERE id <= 300")
 def stable_sort(spark: SparkSession, d: str) -> DataFrame:
-    """Nulls last in both directions, ties in input order; a table as shown on a page."""
-    t = table(spark, d, "customer").where("c_custkey <= 300").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 7 > 0, F.col("c_mktsegment")).alias("s"))
+    """Nulls last in both directions, ties in input order; the first ids, which its SQL asks for."""
+    t = _segments(spark, d).where("id <= 300")
     at = lambda c: F.row_number().over(Window.orderBy(c, "id")).cast("bigint")
     return t.withColumn("up", at(F.col("s").asc_nulls_last())).withColumn("down", at(F.col("s").desc_nulls_last()))
 
 
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 7 > 0, F.col("c_mktsegment")).alias("s"))
+
+
+@query("whole_stable_sort", "WITH t AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 > 0 THEN c_mktsegment END AS s FROM customer) SELECT id, s, row_number() OVER (ORDER BY s ASC NULLS LAST, id) AS up, row_number() OVER (ORDER BY s DESC NULLS LAST, id) AS down FROM t")
+def whole_stable_sort(spark: SparkSession, d: str) -> DataFrame:
+    """Nulls last in both directions, ties in input order, over the whole table."""
+    return table_positions(_segments(spark, d), {"up": F.col("key_").asc_nulls_last(), "down": F.col("key_").desc_nulls_last()}, "s", "id")
+
+
 @query("events_in_clock_order", f"WITH {_MINUTES}, n AS (SELECT g, event_id, nullif(minute % 11, 0) AS minute, minute % 3 AS stoppage FROM ev) SELECT g, event_id, row_number() OVER (PARTITION BY g ORDER BY minute ASC NULLS LAST, stoppage, event_id) AS position FROM n")
 def clock_order(spark: SparkSession, d: str) -> DataFrame:
     n = _minutes(spark, d).select("g", "event_id", F.nullif(F.col("minute") % 11, F.lit(0)).alias("m"), (F.col("minute") % 3).alias("stoppage"))

@@ -175,3 +175,11 @@ def test_results_have_all_knockouts(spark):
     assert {r.stage for r in rows} == {r.stage for r in QUERIES["match_rows"](spark, FOLDER).where("stage > 1").collect()} > {4, 5}
     assert [r.position for r in rows] == list(range(1, len(rows) + 1))
     assert [(r.stage, r.match_id) for r in rows] == sorted((r.stage, r.match_id) for r in rows)
+
+
+def test_stable_sort_covers_the_table(spark, tmp_path):
+    rows = [(k, "AB"[k % 2]) for k in range(1, 20001)]
+    spark.createDataFrame(rows, "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    order = sorted(rows, key=lambda r: (r[1] if r[0] % 7 else "Z", r[0]))
+    got = QUERIES["whole_stable_sort"](spark, str(tmp_path)).orderBy("up").collect()
+    assert [(r.up, r.id) for r in got] == [(n, k) for n, (k, _) in enumerate(order, 1)]
