@@ -306,10 +306,19 @@ def duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 @query("multiset_difference", "SELECT n FROM (SELECT l_linenumber AS n FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey < 2000 EXCEPT ALL SELECT l_linenumber FROM lineitem WHERE l_returnflag = 'A' AND l_orderkey < 2000)")
 def multiset_difference(spark: SparkSession, d: str) -> DataFrame:
+    """One direction over the first ids, which its SQL asks for."""
     side = lambda f: table(spark, d, "lineitem").where(f"l_returnflag = '{f}' and l_orderkey < 2000").select(F.col("l_linenumber").alias("n"))
     return side("R").exceptAll(side("A"))
 
 
+@query("whole_multiset_difference", """WITH r AS (SELECT l_linenumber AS n FROM lineitem WHERE l_returnflag = 'R'), a AS (SELECT l_linenumber AS n FROM lineitem WHERE l_returnflag = 'A')
+ SELECT n, 'R' AS side FROM (SELECT n FROM r EXCEPT ALL SELECT n FROM a) UNION ALL SELECT n, 'A' FROM (SELECT n FROM a EXCEPT ALL SELECT n FROM r)""")
+def whole_multiset_difference(spark: SparkSession, d: str) -> DataFrame:
+    """What either multiset has beyond the other, with its side; none where they are equal."""
+    side = lambda f: table(spark, d, "lineitem").where(f"l_returnflag = '{f}'").select(F.col("l_linenumber").alias("n"))
+    return side("R").exceptAll(side("A")).withColumn("side", F.lit("R")).unionByName(side("A").exceptAll(side("R")).withColumn("side", F.lit("A")))
+
+
 @query("set_overlap", "SELECT c_nationkey AS team FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 def set_overlap(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_nationkey").alias("team")).intersect(table(spark, d, "supplier").select("s_nationkey"))

@@ -183,3 +183,9 @@ def test_stable_sort_covers_the_table(spark, tmp_path):
     order = sorted(rows, key=lambda r: (r[1] if r[0] % 7 else "Z", r[0]))
     got = QUERIES["whole_stable_sort"](spark, str(tmp_path)).orderBy("up").collect()
     assert [(r.up, r.id) for r in got] == [(n, k) for n, (k, _) in enumerate(order, 1)]
+
+
+def test_multisets_differ_both_ways(spark, tmp_path):
+    rows = [(1, 1, "R"), (5000, 1, "R"), (6000, 1, "A"), (7000, 2, "A"), (7001, 2, "A"), (7002, 2, "R"), (8000, 3, "N")]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted(col(QUERIES["whole_multiset_difference"](spark, str(tmp_path)))) == [(1, "R"), (2, "A")]
