@@ -85,6 +85,56 @@ def greedy_assignment(candidates: DataFrame, by: list[str]) -> DataFrame:
     return candidates.select(*schema.names).groupBy(*by).applyInPandas(choose, schema)
 
 
+def linked(markers: DataFrame, glyphs: DataFrame, rows: DataFrame, by: list[str], radius: float) -> DataFrame:
+    """``(by, marker, ordinal, distance)`` of every marker, null where no link can be trusted.
+
+    ``markers(marker, ax, ay, outcome)``, ``glyphs(glyph, bx, by_, ordinal, word,
+    start, end, whole)`` and ``rows(ordinal, outcomes)``. A pair counts within the
+    radius where the ordinal has a row and the row's outcomes hold the marker's.
+    Pairs are taken in order of ``(distance, marker, glyph)``: whole glyphs first;
+    of markers with one ordinal the nearest keeps it and the others are released;
+    then parts too. Claims on one word must not overlap in ``[start, end)``, and
+    a part never takes an ordinal that is held. Ordinals still held twice unlink.
+    """
+    shown = glyphs.join(rows, [*by, "ordinal"])
+    pairs = close_pairs(markers, shown, by, radius).where(F.array_contains("outcomes", F.col("outcome")))
+    columns = [*by, "marker", "glyph", "distance", "ordinal", "word", "start", "end", "whole"]
+    pairs = pairs.select(*columns)
+    schema = pairs.select(*by, "marker", "ordinal", "distance").schema
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["distance", "marker", "glyph"], ignore_index=True)
+        order = list(zip(*(pdf[c].tolist() for c in ("marker", "glyph", "ordinal", "word", "start", "end", "whole"))))
+        held, used, taken, ordinals = {}, set(), {}, set()
+
+        def greedy(whole_only: bool) -> None:
+            for at, (marker, glyph, ordinal, word, start, end, whole) in enumerate(order):
+                if marker in held or glyph in used or not whole and (whole_only or ordinal in ordinals):
+                    continue
+                if any(start < e and s < end for s, e in taken.get(word, ())):
+                    continue
+                held[marker] = at
+                used.add(glyph)
+                taken.setdefault(word, []).append((start, end))
+                ordinals.add(ordinal)
+
+        greedy(True)
+        claims = {}
+        for at in sorted(held.values()):  # by distance, then marker
+            claims.setdefault(order[at][2], []).append(at)
+        for at in (at for ats in claims.values() for at in ats[1:]):
+            marker, glyph, _, word, start, end, _ = order[at]
+            del held[marker]
+            used.discard(glyph)
+            taken[word].remove((start, end))
+        greedy(False)
+        kept = pdf.loc[sorted(held.values())]
+        return kept[~kept["ordinal"].duplicated(keep=False)][schema.names]
+
+    found = pairs.groupBy(*by).applyInPandas(choose, schema)
+    return markers.select(*by, "marker").join(found, [*by, "marker"], "left")
+
+
 def incident(edges: DataFrame, node: Column) -> DataFrame:
     """Edges with an end at the node."""
     return edges.where((F.col("src") == node) | (F.col("dst") == node))

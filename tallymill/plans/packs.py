@@ -108,10 +108,24 @@ def whole_close_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @query("linked_markers")
 def linked_markers(spark: SparkSession, d: str) -> DataFrame:
-    """Markers and labels one to one, nearest first."""
-    p = _points(spark, d)
-    a, b = p.where("id % 3 = 0").select("page", F.col("id").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay")), p.where("id % 3 = 1").select("page", F.col("id").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by_"))
-    return matching.greedy_assignment(matching.close_pairs(a, b, ["page"], 5.625), ["page"])
+    """Markers and the ordinals of their labels; null where there is no link.
+
+    On each page every other row is a marker, the rest are labels. Of three labels
+    one is whole and two are the parts of a merged word; every eleventh repeats an
+    ordinal. Rows of the table take one outcome by their ordinal, or both.
+    """
+    k = F.floor(F.col("id") / 16)
+    outcome = lambda c: F.when(c % 2 == 0, "on-target").otherwise("incomplete")
+    p = _points(spark, d).withColumns({"is_marker": F.floor(F.col("id") / 8) % 2 == 0, "k": k})
+    markers = p.where("is_marker").select("page", F.col("id").alias("marker"), F.col("x").alias("ax"), F.col("y").alias("ay"), outcome(F.col("k")).alias("outcome"))
+    part = F.col("k") % 3
+    glyphs = p.where("not is_marker").select(
+        "page", F.col("id").alias("glyph"), F.col("x").alias("bx"), F.col("y").alias("by_"), (F.col("k") - (F.col("k") % 11 == 10).cast("int") + 1).alias("ordinal"),
+        F.when(part == 0, F.col("id")).otherwise(-F.floor(F.col("k") / 3) - 1).alias("word"), F.when(part == 2, 1).otherwise(0).alias("start"), F.when(part == 1, 1).otherwise(2).alias("end"), (part == 0).alias("whole"),
+    )
+    n = F.col("ordinal")
+    rows = glyphs.select("page", "ordinal").distinct().select("page", "ordinal", F.when(n % 7 == 0, F.array(F.lit("incomplete"), F.lit("on-target"))).otherwise(F.array(outcome(n))).alias("outcomes"))
+    return matching.linked(markers, glyphs, rows, ["page"], 5.625)
 
 
 @query("edges_with_nodes", "WITH e AS (SELECT l_suppkey AS src, l_partkey AS dst, count(*) AS weight FROM lineitem GROUP BY ALL) SELECT src, dst, weight, s_name AS src_name, p_name AS dst_name FROM e JOIN supplier ON s_suppkey = src JOIN part ON p_partkey = dst")

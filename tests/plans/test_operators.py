@@ -189,3 +189,29 @@ def test_multisets_differ_both_ways(spark, tmp_path):
     rows = [(1, 1, "R"), (5000, 1, "R"), (6000, 1, "A"), (7000, 2, "A"), (7001, 2, "A"), (7002, 2, "R"), (8000, 3, "N")]
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert sorted(col(QUERIES["whole_multiset_difference"](spark, str(tmp_path)))) == [(1, "R"), (2, "A")]
+
+
+def test_linked_markers(spark):
+    """A page a rule: swap by outcome, parts of a merged word, a duplicate ordinal, overlapping claims, a release that claims its word again, an ordinal without a row, a release that finds a part."""
+    markers = [(1, 1, 0.0, "a"), (1, 2, 1.0, "b"), (2, 1, 0.0, "a"), (2, 2, 1.0, "a"), (3, 1, 0.0, "a"), (3, 2, 4.0, "a"), (4, 1, 0.0, "a"), (4, 2, 0.5, "a"), (5, 1, 0.0, "a"), (5, 2, 3.0, "a"), (6, 1, 0.0, "a"), (7, 1, 0.0, "a"), (7, 2, 3.0, "a")]
+    glyphs = [  # page, glyph, x, ordinal, word, start, end, whole
+        (1, 1, 0.9, 1, 1, 0, 1, True), (1, 2, 0.1, 2, 2, 0, 1, True),
+        (2, 1, 0.2, 3, 1, 0, 1, False), (2, 2, 0.8, 4, 1, 1, 2, False),
+        (3, 1, 0.0, 1, 1, 0, 1, True), (3, 2, 4.0, 1, 2, 0, 1, True),
+        (4, 1, 0.2, 3, 1, 0, 2, True), (4, 2, 0.6, 4, 1, 1, 2, False),
+        (5, 1, 0.0, 1, 1, 0, 1, True), (5, 2, 3.1, 1, 2, 0, 2, True), (5, 3, 3.2, 2, 2, 1, 2, False),
+        (6, 1, 0.0, 9, 1, 0, 1, True),
+        (7, 1, 0.0, 1, 1, 0, 1, True), (7, 2, 3.3, 1, 2, 0, 2, True), (7, 3, 3.2, 2, 2, 1, 2, False),
+    ]
+    rows = [(1, 1, ["a"]), (1, 2, ["b"]), (2, 3, ["a"]), (2, 4, ["a"]), (3, 1, ["a"]), (4, 3, ["a"]), (4, 4, ["a"]), (5, 1, ["a"]), (5, 2, ["a"]), (6, 1, ["a"]), (7, 1, ["a"]), (7, 2, ["a"])]
+    m = spark.createDataFrame([(p, k, x, 0.0, o) for p, k, x, o in markers], "page int, marker int, ax double, ay double, outcome string")
+    g = spark.createDataFrame([(p, k, x, 0.0, *r) for p, k, x, *r in glyphs], "page int, glyph int, bx double, by_ double, ordinal int, word int, start int, end int, whole boolean")
+    r = spark.createDataFrame(rows, "page int, ordinal int, outcomes array<string>")
+    got = {(x.page, x.marker): x.ordinal for x in matching.linked(m, g, r, ["page"], 5.625).collect()}
+    assert got == {(1, 1): 1, (1, 2): 2, (2, 1): 3, (2, 2): 4, (3, 1): None, (3, 2): None, (4, 1): 3, (4, 2): None, (5, 1): None, (5, 2): None, (6, 1): None, (7, 1): 1, (7, 2): 2}
+
+
+def test_every_marker_is_returned(spark):
+    got = QUERIES["linked_markers"](spark, FOLDER).collect()
+    assert sorted(r.marker for r in got) == [k for k in range(500) if k // 8 % 2 == 0]
+    assert any(r.ordinal is None for r in got) and any(r.ordinal is not None for r in got)
