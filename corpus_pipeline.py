@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.llm import bpe, decontaminate, lines, quality, simhash
+from tallymill.llm import bpe, decontaminate, lines, near, quality
 from tallymill.llm.common import materialize
 from tallymill.llm.queries import tokenizer_file
 
@@ -28,8 +28,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each near-duplicate group stays: SimHash links, and Jaccard
+    similarity of five-word shingles from 0.8 on."""
+    return near.drop_near_copies(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -159,14 +159,20 @@ def near_pairs(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     return parts.mapInArrow(run, "a long, b long")
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int, tile: int) -> tuple[DataFrame, DataFrame]:
-    """``(id, fp)`` of each row, and ``(fp, root, component_id)`` of each fingerprint."""
-    rows = materialize(fingerprints(docs, id_col, text_col), "simhash")
+def named(rows: DataFrame, links: DataFrame | None = None, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """``(fp, root, component_id)`` of each fingerprint of ``rows(id, fp)`` under the
+    links ``(a, b)``; those within the radius where none are given."""
     heads = materialize(rows.groupBy("fp").agg(F.min("id").alias("head")), "simhash-heads")
     # Components over fingerprints; each then takes the smallest id under its fingerprints.
-    linked = components(near_pairs(heads.select("fp"), radius, tile))
+    linked = components(near_pairs(heads.select("fp"), radius, tile) if links is None else links)
     grouped = heads.join(linked, heads["fp"] == linked["node"], "left").select(heads["fp"], "head", F.coalesce("component", heads["fp"]).alias("root"))
-    return rows, grouped.join(grouped.groupBy("root").agg(F.min("head").alias("component_id")), "root").select("fp", "root", "component_id")
+    return grouped.join(grouped.groupBy("root").agg(F.min("head").alias("component_id")), "root").select("fp", "root", "component_id")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, radius: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """``(id, fp)`` of each row, and ``(fp, root, component_id)`` of each fingerprint."""
+    rows = materialize(fingerprints(docs, id_col, text_col), "simhash")
+    return rows, named(rows, None, radius, tile)
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -187,7 +193,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows that repeat the kept id stay one. Rows of null id go where their
     component has an id; of a component of only null ids one row stays.
     """
-    rows, named = _classes(docs, id_col, text_col, radius, TILE)
+    return drop_classes(docs, *_classes(docs, id_col, text_col, radius, TILE), id_col, text_col)
+
+
+def drop_classes(docs: DataFrame, rows: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``drop_near_duplicates`` by the components of ``named`` over ``rows(id, fp)``."""
     judged = materialize(rows.join(named, "fp", "left").select("id", "root", "component_id"), "simhash-judged")
     gone = judged.where("id is not null and id <> component_id").select(F.col("id").alias(id_col)).distinct()
     again = judged.where("id = component_id").groupBy("id").count().where("count > 1").select(F.col("id").alias(id_col))
