@@ -7,8 +7,10 @@ Every proposal gets format features (characters, digits, separators, groups) and
 context features (words and characters beside it). Gradient-boosted trees of
 depth two, learnt on the driver from a bounded sample of candidates (``SAMPLE``;
 the rule of the base kinds is the label, and no feature shows it), become one SQL
-expression; a threshold for each kind, calibrated on held-out candidates, selects
-what is redacted. Of overlapping selections the better score stays; base spans always stay.
+expression. A threshold for each base kind, calibrated on held-out candidates, selects
+what is redacted; the extra kinds have no labels and take the common threshold of the
+base kinds, uncalibrated. Selections are kept best score first where they meet no kept
+span; base spans always stay.
 
 Patterns use possessive quantifiers, which here match exactly what the plain
 ones do, in linear time and without recursion on long runs. Offsets are code
@@ -45,7 +47,7 @@ EXTRA = {
     "device": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])",
     "identity": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local_phone": r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:sk|pk|api|key|token|ghp|AKIA)[-_=:]?[A-Za-z0-9]{16,64}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:sk|pk|api|key|token|ghp|AKIA)[-_=:]?[A-Za-z0-9]{16,}+",
     "spelled_email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)| dot |\.) ?[A-Za-z]{2,24}){1,3}(?![A-Za-z])",
 }
 #: A plain test that is true wherever the pattern can match.
@@ -216,6 +218,18 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
     return Model(x, np.array([r.base for r in rows], np.float64), [*BASE, *EXTRA])
 
 
+def select_free(df: DataFrame, keep: list[str]) -> DataFrame:
+    """``free``: of the spans ``more`` those that meet no span of ``base`` and, best
+    first, none that is kept already."""
+    meet = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    alone = F.filter("more", lambda c: ~F.exists("base", lambda b: meet(b, c)))
+    # the better score first, then the earlier start, the later end and the later name
+    ranked = F.sort_array(F.transform(alone, lambda c: F.struct(c["score"].alias("score"), (-c["start"]).alias("back"), c["start"].alias("start"), c["end"].alias("end"), c["name"].alias("name"))), asc=False)
+    df = _step(df, keep, {"ranked": ranked})
+    free = F.aggregate("ranked", F.slice("ranked", 1, 0), lambda kept, c: F.when(F.exists(kept, lambda k: meet(k, c)), kept).otherwise(F.concat(kept, F.array(c))))
+    return _step(df, keep, {"free": F.array_sort(F.transform(free, lambda c: F.struct(c["name"].alias("name"), c["start"].alias("start"), c["end"].alias("end"), c["score"].alias("score"))))})
+
+
 def find_pii(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, redactions)``;
     ``redactions`` are the selected spans as structs of name, start, end and score."""
@@ -225,10 +239,7 @@ def find_pii(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     scored = F.transform(F.filter("found", lambda c: ~c["base"]), lambda c: F.struct(c["name"].alias("name"), c["start"].alias("start"), c["end"].alias("end"), model.trees.column(c["x"]).alias("score")))
     df = _step(df, ["doc_id"], {"base": base, "scored": scored})
     df = _step(df, ["doc_id", "base"], {"more": F.filter("scored", lambda c: c["score"] >= F.element_at(limit, c["name"]))})
-    meet = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    better = lambda a, b: F.struct(a["score"], -a["start"], a["end"], a["name"]) > F.struct(b["score"], -b["start"], b["end"], b["name"])
-    free = F.filter("more", lambda c: ~F.exists("base", lambda b: meet(b, c)) & ~F.exists("more", lambda o: meet(o, c) & better(o, c)))
-    df = _step(df, ["doc_id", "base"], {"free": F.array_sort(F.transform(free, lambda c: F.struct(c["name"].alias("name"), c["start"].alias("start"), c["end"].alias("end"), c["score"].alias("score"))))})
+    df = select_free(df, ["doc_id", "base"])
     told = lambda arr: F.transform(arr, lambda c: F.concat_ws(":", c["name"], c["start"].cast("string"), c["end"].cast("string")))
     of = lambda arr, k: F.filter(arr, lambda c: c["name"] == k)
     ordered = F.concat(*(F.array_sort(F.concat(of("base", k), of("free", k))) for k in BASE), F.filter("free", lambda c: ~c["name"].isin(*BASE)))

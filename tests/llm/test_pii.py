@@ -49,3 +49,19 @@ def test_base_equals_brute_force(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find_pii(df, pii.train(df)).count() == 0
+
+
+def test_chain_of_overlaps(spark):
+    """B goes for A, so C, which only B meets, stays; D meets a base span."""
+    span = "array<struct<name string, start int, end int, score double>>"
+    more = [("c", 18, 30, 0.7), ("a", 0, 10, 0.9), ("b", 8, 20, 0.8), ("d", 40, 50, 0.99)]
+    df = spark.createDataFrame([(1, [("email", 49, 60, 1.0)], more), (2, [], [])], f"doc_id int, base {span}, more {span}")
+    got = {r.doc_id: [tuple(x) for x in r.free] for r in pii.select_free(df, ["doc_id", "base"]).collect()}
+    assert got == {1: [("a", 0, 10, 0.9), ("c", 18, 30, 0.7)], 2: []}
+
+
+def test_long_secrets_are_proposed(spark):
+    texts = {k: "key-" + "a1" * (k // 2) for k in (14, 16, 64, 66, 5000)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: [(c.start, c.end) for c in r.found if c.name == "secret"] for r in pii.candidates(df).collect()}
+    assert got == {k: [(0, len(t))] if k >= 16 else [] for k, t in texts.items()}
