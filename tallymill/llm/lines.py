@@ -1,19 +1,25 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
 1. Lines are told apart by 128 bits of hash; equal lines are one class with
-   their first place (lowest ``doc_id``, then line number).
-2. A class's characters are cut into shingles of ``SHINGLE`` (a shorter line is
-   one shingle) by a generated row each, so hashing and the ``BANDS * ROWS``
-   minima run in generated code. Minima of one hash under different exclusive-or
-   masks agree with the probability of the Jaccard similarity.
+   their first place (lowest ``doc_id``, then line number) and their count.
+2. A class's characters (code points) are cut into shingles of ``SHINGLE`` (a
+   shorter line is one shingle). A generated row hashes ``STEP`` shingles at once,
+   so the ``BANDS * ROWS`` minima take one update for each ``STEP`` of them, in
+   generated code. Minima of one hash under different exclusive-or masks agree
+   with the probability of the Jaccard similarity.
 3. ``BANDS`` bands of ``ROWS`` minima: lines of similarity 0.8 meet in some band
-   with probability 0.974, of 0.85 with 0.996, of 0.9 with 0.9999.
-4. Each band bucket first links its members to one representative. After the
+   with probability 0.98 to 0.985, of 0.85 with 0.997, of 0.9 with over 0.9999.
+4. Four bits of each minimum are kept. Two lines of which fewer than ``AGREE`` of
+   the 32 agree are no candidates; at similarity 0.8 that loses one pair in 10,000.
+5. Each band bucket first links its members to one representative. After the
    verified links are contracted, ``STARS`` rounds do the same with one member of
-   each component of a bucket and one of its largest. Then only members of
-   *different* components in one bucket are paired: a crowd of near copies costs linear rows, and
-   no link between different texts that banding offers is skipped.
-5. Candidates are verified by exact Jaccard similarity of their shingle sets;
+   each component of a bucket and one of its largest.
+6. Members of *different* components in one bucket are compared by odd sketches:
+   ``WORDS`` words of parities of the hashes of a set. As many bits as two sketches
+   differ in, so many shingles at least are in one set alone, so a pair that the
+   threshold's bound rules out is none for certain, and the join puts out only
+   pairs close to the threshold or above it, however crowded the bucket is.
+7. Candidates are verified by exact Jaccard similarity of their shingle sets;
    distributed union-find makes components; the first place of each stays.
 
 Tables that are broadcast are counted first and only when they fit
@@ -36,12 +42,21 @@ from tallymill.llm.common import components, discard, materialize, output_name
 
 SIMILARITY = 0.8
 SHINGLE = 8
-BANDS, ROWS = 12, 6
-#: Further rounds of representatives before the rest is paired.
-STARS = 2
+BANDS, ROWS = 8, 4
+#: Shingles that one generated row hashes.
+STEP = 8
+#: Of the kept parts of the minima, so many agree in every candidate.
+AGREE = 17
+#: Rounds of representatives of components before their members are compared.
+STARS = 1
+#: Words of 64 parities in an odd sketch.
+WORDS = 16
 BROADCAST_BYTES = 32 << 20
 _RANDOM = random.Random(17)
 _MASKS = [_RANDOM.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
+_MARKS = ("marks1", "marks2")
+_HASHES = [f"x{j}" for j in range(STEP)]
+_CELLS = [f"s{w}" for w in range(WORDS)]
 
 
 def bounded(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -53,104 +68,162 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, th, pos, line, h1, h2)`` of all lines that aren't blank."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    rows = rows.where(F.trim(F.regexp_replace("line", r"[\t\r\x0b\x0c]", " ")) != "")
-    return rows.select("id", "th", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    return rows.where(F.col("line").rlike(r"[^ \t\r\x0b\x0c]")).select("id", "th", "pos", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def _last_nulls(column: str) -> Column:
-    """A struct that orders null ids last."""
+def _place(column: str = "id") -> Column:
+    """A struct that orders places by document, null ids last."""
     return F.struct(F.col(column).isNull().alias("none"), F.col(column).alias("id"), F.col("th"), F.col("pos"))
 
 
+def _hashed(lines: DataFrame, shingle: int) -> DataFrame:
+    """For each ``STEP`` shingles of ``code``, text in UTF-32, a row with their hashes
+    ``x0, x1, ...`` in its place; the last row repeats the last shingle."""
+    keys, code = [c for c in lines.columns if c != "code"], F.col("code")
+    last = F.greatest((F.octet_length(code) / 4).cast("int") - shingle, F.lit(0))
+    rows = lines.select(*keys, code, last.alias("last_"), F.explode(F.sequence(F.lit(0), last, F.lit(STEP))).alias("at_"))
+    cut = lambda j: F.xxhash64(F.substring(code, F.least(F.col("at_") + j, F.col("last_")) * 4 + 1, F.lit(4 * shingle)))
+    return rows.select(*keys, *(cut(j).alias(x) for j, x in enumerate(_HASHES)))
+
+
+def _gathered(where: Column | None = None) -> Column:
+    """An aggregate: all hashes of rows of ``_hashed``, repeats included."""
+    row = F.array(*_HASHES)
+    return F.flatten(F.collect_list(row if where is None else F.when(where, row)))
+
+
 def signatures(lines: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """A row for each distinct line: ``(h1, h2, bands)``."""
-    one = lines.groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    wide = one.select("h1", "h2", F.encode("line", "UTF-32").alias("code"))
+    """A row for each distinct line: ``(h1, h2, first, copies, bands)`` and the marks,
+    four bits of each minimum."""
+    one = lines.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min(_place()).alias("first"), F.count("*").alias("copies"))
+    kept = ["h1", "h2", "copies", "none", "id", "th", "pos"]
+    wide = one.select("h1", "h2", "copies", "first.*", F.encode("line", "UTF-32").alias("code"))
     # the generator's rows keep h1 and h2, so the minima need no further exchange
-    at = F.explode(F.sequence(F.lit(0), F.greatest((F.octet_length("code") / 4).cast("int") - shingle, F.lit(0))))
-    cut = wide.select("h1", "h2", "code", at.alias("i")).select("h1", "h2", F.xxhash64(F.substring(F.col("code"), F.col("i") * 4 + 1, F.lit(4 * shingle))).alias("h"))
-    least = cut.groupBy("h1", "h2").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_MASKS)))
+    rows = _hashed(wide.select(*kept, "code"), shingle)
+    least = rows.groupBy(*kept).agg(*(F.min(F.least(*(F.col(x).bitwiseXOR(F.lit(m)) for x in _HASHES))).alias(f"m{k}") for k, m in enumerate(_MASKS)))
     bands = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
-    return least.select("h1", "h2", bands.alias("bands"))
+    marks = []
+    for w, name in enumerate(_MARKS):
+        part = F.lit(0).cast("long")
+        for k in range(16):
+            part = part.bitwiseOR(F.shiftleft(F.xxhash64(f"m{16 * w + k}").bitwiseAND(F.lit(15).cast("long")), 4 * k))
+        marks.append(part.alias(name))
+    return least.select("h1", "h2", F.struct("none", "id", "th", "pos").alias("first"), "copies", bands.alias("bands"), *marks)
 
 
-def _shingles(line: Column, shingle: int) -> Column:
-    """The set of shingles of a line, as 64-bit hashes: the sets that are met are of
-    two lines, in which unequal shingles of equal hash do not occur in practice."""
-    cut = F.when(F.char_length(line) <= shingle, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{shingle}}}))"), F.lit(1)))
-    return F.array_distinct(F.transform(cut, lambda s: F.xxhash64(s)))
+def _agree(a: list[Column], b: list[Column]) -> Column:
+    """How many of the marks of two lines agree."""
+    unequal = F.lit(0)
+    for x, y in zip(a, b, strict=True):
+        bits = x.bitwiseXOR(y)
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        unequal = unequal + F.bit_count(bits)
+    return F.lit(32) - unequal
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose lines ``texts(node, line)`` have the Jaccard similarity."""
-    left, right = texts.select(F.col("node").alias("a"), F.col("line").alias("la")), texts.select(F.col("node").alias("b"), F.col("line").alias("lb"))
-    both = pairs.join(left, "a").join(right, "b")
-    made = F.struct(_shingles(F.col("la"), shingle).alias("sa"), _shingles(F.col("lb"), shingle).alias("sb"))
-    # a generated row keeps the optimizer from making the sets anew for each use
-    sets = both.select("a", "b", F.explode(F.array(made)).alias("s")).select("a", "b", "s.sa", "s.sb")
-    sets = sets.select("a", "b", "sa", "sb", F.explode(F.array(F.size(F.array_intersect("sa", "sb")))).alias("common"))
-    return sets.where(F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
+def _near(left: list[Column], right: list[Column], similarity: float) -> Column:
+    """Whether two sets, given as size and sketch, can be that similar: of sets with so
+    much in common, (1 - s) / (1 + s) of both sizes at most is in one alone."""
+    apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(left[1:], right[1:], strict=True)), F.lit(0))
+    return apart * (1 + similarity) <= (1 - similarity) * (left[0] + right[0]) + 1e-6
 
 
-def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(node, line)`` of the wanted classes ``(node, h1, h2)``."""
-    return lines.select("h1", "h2", "line").join(bounded(wanted, 48), ["h1", "h2"]).groupBy("node").agg(F.first("line").alias("line"))
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose lines ``texts(node, code, n, s0, s1, ...)`` have the Jaccard
+    similarity. Sets are of 64-bit hashes: those that are met are of two lines, in which
+    unequal shingles of equal hash do not occur in practice."""
+    told = ["n", *_CELLS]
+    left, right = (texts.select(F.col("node").alias(side), F.col("code").alias("c" + side), *(F.col(c).alias(c + side) for c in told)) for side in "ab")
+    both = pairs.join(left, "a").join(right, "b").where(_near([F.col(c + "a") for c in told], [F.col(c + "b") for c in told], similarity))
+    halves = F.explode(F.array(F.struct(F.lit(True).alias("one"), F.col("ca").alias("code")), F.struct(F.lit(False).alias("one"), F.col("cb").alias("code"))))
+    rows = _hashed(both.select("a", "b", "na", "nb", halves.alias("half")).select("a", "b", "na", "nb", "half.*"), shingle)
+    sets = rows.groupBy("a", "b", "na", "nb").agg(_gathered(F.col("one")).alias("sa"), _gathered(~F.col("one")).alias("sb"))
+    # a generated row keeps the optimizer from intersecting anew for each use
+    sets = sets.select("a", "b", "na", "nb", F.explode(F.array(F.size(F.array_intersect("sa", "sb")))).alias("common"))
+    return sets.where(F.col("common") >= similarity * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+
+
+def _texts(lines: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """``(node, code, n, s0, s1, ...)`` of the wanted classes ``(node, h1, h2)``: their line in
+    UTF-32, which is cut by place without a search, the size of its set and its odd sketch."""
+    texts = lines.select("h1", "h2", "line").join(bounded(wanted, 48), ["h1", "h2"]).groupBy("node").agg(F.first("line").alias("line"))
+    texts = texts.select("node", F.encode("line", "UTF-32").alias("code"))
+    sets = _hashed(texts, shingle).groupBy("node").agg(F.array_distinct(_gathered()).alias("set"))
+    each = sets.select("node", F.explode("set").alias("h"))
+    bit, word = F.shiftright("h", 8).bitwiseAND(F.lit(63).cast("long")).cast("int"), F.col("h").bitwiseAND(F.lit(WORDS - 1).cast("long"))
+    parts = (F.coalesce(F.bit_xor(F.when(word == w, F.call_function("shiftleft", F.lit(1).cast("long"), bit))), F.lit(0).cast("long")).alias(c) for w, c in enumerate(_CELLS))
+    return texts.join(each.groupBy("node").agg(F.count("*").alias("n"), *parts), "node")
+
+
+def _open(met: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of the buckets that hold different components, with their component."""
+    rooted = met.join(components(links), "node", "left").select("key", "node", *_MARKS, F.coalesce("component", "node").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return materialize(rooted.join(mixed, "key", "left_semi"), "line-open")
 
 
-def _rooted(met: DataFrame, found: DataFrame) -> DataFrame:
-    """Bucket members with their component so far."""
-    return met.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("root"))
+def _pair(left: str, right: str, marks: tuple[list[str], list[str]]) -> tuple[list[Column], Column]:
+    """The columns of a pair, larger node first, and whether its marks let it be a candidate."""
+    agree = _agree([F.col(c) for c in marks[0]], [F.col(c) for c in marks[1]]) >= AGREE
+    return [F.greatest(left, right).alias("a"), F.least(left, right).alias("b")], agree
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """``(id, th, drop)``: of each document with lines that go, their numbers."""
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, []
+
+    def kept(df: DataFrame, tag: str) -> DataFrame:
+        scratch.append(materialize(df, tag))
+        return scratch[-1]
+
     lines = _lines(docs, id_col, text_col)
-    sig = materialize(signatures(lines, shingle).withColumn("node", F.monotonically_increasing_id()), "line-signatures")
-    bands = sig.select("node", F.explode("bands").alias("key"))
+    sig = kept(signatures(lines, shingle).withColumn("node", F.monotonically_increasing_id()), "line-signatures")
+    bands = sig.select("node", *_MARKS, F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("size")).where("size > 1")
-    shared = materialize(shared.select("key", "rep"), "line-keys")
-    met = materialize(bands.join(bounded(shared, 24), "key").select("key", "node", "rep"), "line-buckets")
+    shared = kept(shared.select("key", "rep"), "line-keys")
+    met = kept(bands.join(bounded(shared, 24), "key"), "line-buckets")
+    marks = list(_MARKS)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return kept(verified(pairs, texts, similarity, shingle), "line-links")
 
     names = sig.select("node", "h1", "h2")
-    first = materialize(met.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")).distinct(), "line-pairs")
-    touched = met.select("node").distinct()
-    texts = materialize(_texts(lines, names.join(touched, "node", "left_semi")), "line-texts")
-    links = link0 = materialize(verified(first, texts, similarity, shingle), "line-links")
-    found, tried, scratch = components(links), first, []
-    rooted = _rooted(met, found)
+    reps = sig.select(F.col("node").alias("rep"), *(F.col(m).alias(f"rep_{m}") for m in marks))
+    pair, alike = _pair("node", "rep", (marks, [f"rep_{m}" for m in marks]))
+    first = kept(met.where("node <> rep").join(reps, "rep").where(alike).select(*pair).distinct(), "line-pairs")
+    met = met.drop("rep")
+    texts = kept(_texts(lines, names.join(met.select("node").distinct(), "node", "left_semi"), shingle), "line-texts")
+    links, tried = linked(first), first
+    open_ = _open(met, links)
     for k in range(STARS):
         # one member of each component of a bucket meets one of the bucket's largest
-        pick = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node")
-        reps = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), F.min(pick).alias("rep")).select("key", "root", "n", "rep.node")
-        hubs = reps.groupBy("key").agg(F.max(F.struct("n", "node", "root")).alias("hub"), F.count("*").alias("roots")).where("roots > 1")
-        star = reps.join(hubs, "key").where("root <> hub.root").select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")).distinct()
-        star = materialize(star.join(tried, ["a", "b"], "left_anti"), "line-pairs")
-        got = materialize(verified(star, texts, similarity, shingle), "line-links")
-        scratch += [star, got]
-        tried, links = tried.unionByName(star), links.unionByName(got)
-        if not got.limit(1).count():
-            break
-        found = components(links)
-        rooted = _rooted(met, found)
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_ = materialize(rooted.join(mixed, "key", "left_semi"), "line-open")
-    x, y = open_.select("key", F.col("node").alias("b"), F.col("root").alias("rb")), open_.select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
-    more = x.join(y, "key").where("a > b and ra <> rb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    links2 = materialize(verified(more, texts, similarity, shingle), "line-links")
-    node_class = components(links.unionByName(links2))
-
-    # classes that have a copy or a link: find the first place of each component
-    places = sig.select("node", "h1", "h2").join(node_class, "node").select("h1", "h2", "component")
-    places = materialize(places, "line-classes")
-    copied = lines.groupBy("h1", "h2").agg(F.min(_last_nulls("id")).alias("first"), F.count("*").alias("copies"))
-    copied = copied.join(places, ["h1", "h2"], "left").where("copies > 1 or component is not null")
-    copied = materialize(copied, "line-copies")
+        pick = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", *marks)
+        reps = open_.groupBy("key", "root").agg(F.count("*").alias("n"), F.min(pick).alias("rep")).select("key", "root", "n", "rep.*").drop("h")
+        hubs = reps.groupBy("key").agg(F.max(F.struct("n", "node", "root", *marks)).alias("hub"))
+        pair, alike = _pair("node", "hub.node", (marks, [f"hub.{m}" for m in marks]))
+        star = reps.join(hubs, "key").where(F.col("root") != F.col("hub.root")).where(alike).select(*pair).distinct()
+        star = kept(star.join(tried, ["a", "b"], "left_anti"), "line-pairs")
+        links, tried = links.unionByName(linked(star)), tried.unionByName(star)
+        scratch.append(open_)
+        open_ = _open(met, links)
+    scratch.append(open_)
+    full = open_.join(texts.drop("code"), "node")
+    x, y = (full.select("key", *(F.col(c).alias(c + side) for c in ("node", "root", *marks, "n", *_CELLS))) for side in "xy")
+    pair, alike = _pair("nodex", "nodey", ([m + "x" for m in marks], [m + "y" for m in marks]))
+    near = _near([F.col(c + "x") for c in ("n", *_CELLS)], [F.col(c + "y") for c in ("n", *_CELLS)], similarity)
+    on = (x["key"] == y["key"]) & (F.col("nodex") > F.col("nodey")) & (F.col("rootx") != F.col("rooty")) & alike & near
+    more = kept(x.join(y, on).select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "line-pairs")
+    node_class = components(links.unionByName(linked(more)))
+
+    # the first place of each component stays, of a class without links its own first
+    copied = sig.select("node", "h1", "h2", "first", "copies").join(node_class, "node", "left").where("copies > 1 or component is not null")
+    copied = kept(copied.select("h1", "h2", "first", "component"), "line-copies")
     heads = copied.where("component is not null").groupBy("component").agg(F.min("first").alias("head"))
-    keep = copied.join(heads, "component", "left").select("h1", "h2", F.coalesce("head", "first").alias("keep"))
-    gone = lines.select("id", "th", "pos", "h1", "h2").join(bounded(keep, 120), ["h1", "h2"]).where(_last_nulls("id") != F.col("keep"))
+    keep = copied.join(bounded(heads, 48), "component", "left").select("h1", "h2", F.coalesce("head", "first").alias("keep"))
+    gone = lines.select("id", "th", "pos", "h1", "h2").join(bounded(keep, 120), ["h1", "h2"]).where(_place() != F.col("keep"))
     out = materialize(gone.groupBy("id", "th").agg(F.sort_array(F.collect_set("pos")).alias("drop")), "line-drops")
-    for old in (sig, shared, met, first, texts, link0, open_, links2, places, copied, *scratch):
+    for old in scratch:
         discard(spark, old.scratch)
     return out
 

@@ -39,7 +39,7 @@ def brute(rows):
 
 def test_equals_brute_force(spark):
     rng = random.Random(6)
-    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda é ñu".split()
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda é ñu 😀 👩‍🚀ab".split()
     base = [" ".join(rng.choices(words, k=rng.randint(1, 40))) for _ in range(40)]
 
     def vary(s):
@@ -68,5 +68,38 @@ def test_counts_and_plan_has_no_python(spark):
     assert "Python" not in out._jdf.queryExecution().toString()
 
 
+def test_crowd_of_near_copies(spark):
+    """Lines of one crowded bucket, most of them just below the threshold to each other:
+    components equal those of all pairs, and the bucket's pairs are not put out."""
+    rng = random.Random(3)
+    base = [f"{rng.choice('abcdefgh')}{rng.randrange(10**5)}" for _ in range(45)]
+    rows = []
+    for k in range(160):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 3, 4, 4])):
+            w[rng.randrange(45)] = f"{rng.choice('abcdefgh')}{rng.randrange(10**5)}"
+        rows.append((k, " ".join(w)))
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(brute(rows))
+
+
+def test_sketch_bound_holds(spark):
+    """The odd sketch never rules out a pair that reaches the threshold."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(60):
+        t = "".join(rng.choices("abc 😀", k=rng.randint(3, 400)))
+        cut = rng.randint(0, len(t) // 12)
+        texts += [t, t[cut:]]
+    rows = [(k, k, k, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "node long, h1 long, h2 long, line string")
+    made = lines._texts(df, df.select("node", "h1", "h2"), lines.SHINGLE)
+    pairs = spark.createDataFrame([(b, a) for b in range(len(texts)) for a in range(b)], "a long, b long")
+    got = {(r.a, r.b) for r in lines.verified(pairs, made, 0.8, lines.SHINGLE).collect()}
+    sets = [shingles(t) for t in texts]
+    assert got == {(b, a) for b in range(len(texts)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert {r.node: r.n for r in made.select("node", "n").collect()} == {k: len(s) for k, s in enumerate(sets)}
+
+
 def test_empty_table(spark):
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
