@@ -1,26 +1,26 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
-1. Lines are told apart by 128 bits of hash; equal lines are one class with
-   their first place (lowest ``doc_id``, then line number) and their count.
+1. Lines are told apart by 128 bits of hash; equal lines are one class with their count.
 2. A class's characters (code points) are cut into shingles of ``SHINGLE`` (a
    shorter line is one shingle). A generated row hashes ``STEP`` shingles at once,
    so the ``BANDS * ROWS`` minima take one update for each ``STEP`` of them, in
-   generated code. Minima of one hash under different exclusive-or masks agree
-   with the probability of the Jaccard similarity.
+   generated code, and only minima are shuffled. Minima of one hash under different
+   exclusive-or masks agree with the probability of the Jaccard similarity.
 3. ``BANDS`` bands of ``ROWS`` minima: lines of similarity 0.8 meet in some band
-   with probability 0.98 to 0.985, of 0.85 with 0.997, of 0.9 with over 0.9999.
+   with probability 0.97, of 0.85 with 0.99, of 0.9 with 0.999.
 4. Four bits of each minimum are kept. Two lines of which fewer than ``AGREE`` of
-   the 32 agree are no candidates; at similarity 0.8 that loses one pair in 10,000.
-5. Each band bucket first links its members to one representative. After the
-   verified links are contracted, ``STARS`` rounds do the same with one member of
-   each component of a bucket and one of its largest.
-6. Members of *different* components in one bucket are compared by odd sketches:
-   ``WORDS`` words of parities of the hashes of a set. As many bits as two sketches
-   differ in, so many shingles at least are in one set alone, so a pair that the
-   threshold's bound rules out is none for certain, and the join puts out only
-   pairs close to the threshold or above it, however crowded the bucket is.
+   the 15 agree are no candidates; at similarity 0.8 that loses one pair in 1,600.
+5. Each band bucket links its members to two representatives, its first and its last.
+6. After the verified links are contracted, members of *different* components in one
+   bucket are compared by odd sketches: ``WORDS`` words of parities of the hashes of a
+   set. As many bits as two sketches differ in, so many shingles at least are in one
+   set alone, so a pair that the threshold's bound rules out is none for certain. The
+   join puts out each pair once, in its first common bucket, and only pairs close to
+   the threshold or above it, however crowded the bucket is (sketches of lines of over
+   about 2,300 characters rule out less).
 7. Candidates are verified by exact Jaccard similarity of their shingle sets;
-   distributed union-find makes components; the first place of each stays.
+   distributed union-find makes components; the first place of each (lowest
+   ``doc_id``, then line number) stays.
 
 Tables that are broadcast are counted first and only when they fit
 ``BROADCAST_BYTES``; beyond it the same join is a shuffle join.
@@ -42,19 +42,16 @@ from tallymill.llm.common import components, discard, materialize, output_name
 
 SIMILARITY = 0.8
 SHINGLE = 8
-BANDS, ROWS = 8, 4
+BANDS, ROWS = 5, 3
 #: Shingles that one generated row hashes.
 STEP = 8
 #: Of the kept parts of the minima, so many agree in every candidate.
-AGREE = 17
-#: Rounds of representatives of components before their members are compared.
-STARS = 1
+AGREE = 7
 #: Words of 64 parities in an odd sketch.
 WORDS = 16
 BROADCAST_BYTES = 32 << 20
 _RANDOM = random.Random(17)
 _MASKS = [_RANDOM.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
-_MARKS = ("marks1", "marks2")
 _HASHES = [f"x{j}" for j in range(STEP)]
 _CELLS = [f"s{w}" for w in range(WORDS)]
 
@@ -78,12 +75,13 @@ def _place(column: str = "id") -> Column:
 
 def _hashed(lines: DataFrame, shingle: int) -> DataFrame:
     """For each ``STEP`` shingles of ``code``, text in UTF-32, a row with their hashes
-    ``x0, x1, ...`` in its place; the last row repeats the last shingle."""
+    ``x0, x1, ...`` in its place, ``head`` in the first of them; the last row repeats the last shingle."""
     keys, code = [c for c in lines.columns if c != "code"], F.col("code")
+    head = F.col("at_") == 0
     last = F.greatest((F.octet_length(code) / 4).cast("int") - shingle, F.lit(0))
     rows = lines.select(*keys, code, last.alias("last_"), F.explode(F.sequence(F.lit(0), last, F.lit(STEP))).alias("at_"))
     cut = lambda j: F.xxhash64(F.substring(code, F.least(F.col("at_") + j, F.col("last_")) * 4 + 1, F.lit(4 * shingle)))
-    return rows.select(*keys, *(cut(j).alias(x) for j, x in enumerate(_HASHES)))
+    return rows.select(*keys, head.alias("head"), *(cut(j).alias(x) for j, x in enumerate(_HASHES)))
 
 
 def _gathered(where: Column | None = None) -> Column:
@@ -93,40 +91,31 @@ def _gathered(where: Column | None = None) -> Column:
 
 
 def signatures(lines: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """A row for each distinct line: ``(h1, h2, first, copies, bands)`` and the marks,
-    four bits of each minimum."""
-    one = lines.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.min(_place()).alias("first"), F.count("*").alias("copies"))
-    kept = ["h1", "h2", "copies", "none", "id", "th", "pos"]
-    wide = one.select("h1", "h2", "copies", "first.*", F.encode("line", "UTF-32").alias("code"))
-    # the generator's rows keep h1 and h2, so the minima need no further exchange
-    rows = _hashed(wide.select(*kept, "code"), shingle)
-    least = rows.groupBy(*kept).agg(*(F.min(F.least(*(F.col(x).bitwiseXOR(F.lit(m)) for x in _HASHES))).alias(f"m{k}") for k, m in enumerate(_MASKS)))
+    """A row for each distinct line: ``(h1, h2, copies, bands, marks)``; the marks are four
+    bits of each minimum."""
+    rows = _hashed(lines.select("h1", "h2", F.encode("line", "UTF-32").alias("code")), shingle)
+    least = (F.min(F.least(*(F.col(x).bitwiseXOR(F.lit(m)) for x in _HASHES))).alias(f"m{k}") for k, m in enumerate(_MASKS))
+    one = rows.groupBy("h1", "h2").agg(F.count_if("head").alias("copies"), *least)
     bands = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
-    marks = []
-    for w, name in enumerate(_MARKS):
-        part = F.lit(0).cast("long")
-        for k in range(16):
-            part = part.bitwiseOR(F.shiftleft(F.xxhash64(f"m{16 * w + k}").bitwiseAND(F.lit(15).cast("long")), 4 * k))
-        marks.append(part.alias(name))
-    return least.select("h1", "h2", F.struct("none", "id", "th", "pos").alias("first"), "copies", bands.alias("bands"), *marks)
-
-
-def _agree(a: list[Column], b: list[Column]) -> Column:
-    """How many of the marks of two lines agree."""
-    unequal = F.lit(0)
-    for x, y in zip(a, b, strict=True):
-        bits = x.bitwiseXOR(y)
-        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
-        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        unequal = unequal + F.bit_count(bits)
-    return F.lit(32) - unequal
-
-
-def _near(left: list[Column], right: list[Column], similarity: float) -> Column:
+    marks = F.lit(0).cast("long")
+    for k in range(len(_MASKS)):
+        marks = marks.bitwiseOR(F.shiftleft(F.xxhash64(f"m{k}").bitwiseAND(F.lit(15).cast("long")), 4 * k))
+    return one.select("h1", "h2", "copies", bands.alias("bands"), marks.alias("marks"))
+
+
+def _alike(x: str, y: str) -> Column:
+    """Whether enough of the marks of two lines agree."""
+    bits = F.col(x).bitwiseXOR(F.col(y))
+    bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
+    bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2)).bitwiseAND(F.lit(0x1111111111111111))
+    return F.bit_count(bits) <= len(_MASKS) - AGREE
+
+
+def _near(x: str, y: str, similarity: float) -> Column:
     """Whether two sets, given as size and sketch, can be that similar: of sets with so
     much in common, (1 - s) / (1 + s) of both sizes at most is in one alone."""
-    apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(left[1:], right[1:], strict=True)), F.lit(0))
-    return apart * (1 + similarity) <= (1 - similarity) * (left[0] + right[0]) + 1e-6
+    apart = sum((F.bit_count(F.col(c + x).bitwiseXOR(F.col(c + y))) for c in _CELLS), F.lit(0))
+    return apart * (1 + similarity) <= (1 - similarity) * (F.col("n" + x) + F.col("n" + y)) + 1e-6
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -135,7 +124,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int
     unequal shingles of equal hash do not occur in practice."""
     told = ["n", *_CELLS]
     left, right = (texts.select(F.col("node").alias(side), F.col("code").alias("c" + side), *(F.col(c).alias(c + side) for c in told)) for side in "ab")
-    both = pairs.join(left, "a").join(right, "b").where(_near([F.col(c + "a") for c in told], [F.col(c + "b") for c in told], similarity))
+    both = pairs.join(left, "a").join(right, "b").where(_near("a", "b", similarity))
     halves = F.explode(F.array(F.struct(F.lit(True).alias("one"), F.col("ca").alias("code")), F.struct(F.lit(False).alias("one"), F.col("cb").alias("code"))))
     rows = _hashed(both.select("a", "b", "na", "nb", halves.alias("half")).select("a", "b", "na", "nb", "half.*"), shingle)
     sets = rows.groupBy("a", "b", "na", "nb").agg(_gathered(F.col("one")).alias("sa"), _gathered(~F.col("one")).alias("sb"))
@@ -145,8 +134,8 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int
 
 
 def _texts(lines: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``(node, code, n, s0, s1, ...)`` of the wanted classes ``(node, h1, h2)``: their line in
-    UTF-32, which is cut by place without a search, the size of its set and its odd sketch."""
+    """``(node, code, n, s0, s1, ...)`` of the wanted classes ``(node, h1, h2)``: their line
+    in UTF-32, which is cut by place without a search, the size of its set and its odd sketch."""
     texts = lines.select("h1", "h2", "line").join(bounded(wanted, 48), ["h1", "h2"]).groupBy("node").agg(F.first("line").alias("line"))
     texts = texts.select("node", F.encode("line", "UTF-32").alias("code"))
     sets = _hashed(texts, shingle).groupBy("node").agg(F.array_distinct(_gathered()).alias("set"))
@@ -156,19 +145,6 @@ def _texts(lines: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return texts.join(each.groupBy("node").agg(F.count("*").alias("n"), *parts), "node")
 
 
-def _open(met: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of the buckets that hold different components, with their component."""
-    rooted = met.join(components(links), "node", "left").select("key", "node", *_MARKS, F.coalesce("component", "node").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    return materialize(rooted.join(mixed, "key", "left_semi"), "line-open")
-
-
-def _pair(left: str, right: str, marks: tuple[list[str], list[str]]) -> tuple[list[Column], Column]:
-    """The columns of a pair, larger node first, and whether its marks let it be a candidate."""
-    agree = _agree([F.col(c) for c in marks[0]], [F.col(c) for c in marks[1]]) >= AGREE
-    return [F.greatest(left, right).alias("a"), F.least(left, right).alias("b")], agree
-
-
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """``(id, th, drop)``: of each document with lines that go, their numbers."""
     spark, scratch = docs.sparkSession, []
@@ -179,49 +155,42 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     lines = _lines(docs, id_col, text_col)
     sig = kept(signatures(lines, shingle).withColumn("node", F.monotonically_increasing_id()), "line-signatures")
-    bands = sig.select("node", *_MARKS, F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("node").alias("rep"), F.count("*").alias("size")).where("size > 1")
-    shared = kept(shared.select("key", "rep"), "line-keys")
-    met = kept(bands.join(bounded(shared, 24), "key"), "line-buckets")
-    marks = list(_MARKS)
+    keyed = sig.select("node", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("end"), F.count("*").alias("size")).where("size > 1")
+    shared = kept(shared, "line-keys")
+    met = kept(sig.select("node", "marks", F.explode("bands").alias("key")).join(bounded(shared, 40), "key"), "line-buckets")
 
     def linked(pairs: DataFrame) -> DataFrame:
         return kept(verified(pairs, texts, similarity, shingle), "line-links")
 
-    names = sig.select("node", "h1", "h2")
-    reps = sig.select(F.col("node").alias("rep"), *(F.col(m).alias(f"rep_{m}") for m in marks))
-    pair, alike = _pair("node", "rep", (marks, [f"rep_{m}" for m in marks]))
-    first = kept(met.where("node <> rep").join(reps, "rep").where(alike).select(*pair).distinct(), "line-pairs")
-    met = met.drop("rep")
-    texts = kept(_texts(lines, names.join(met.select("node").distinct(), "node", "left_semi"), shingle), "line-texts")
-    links, tried = linked(first), first
-    open_ = _open(met, links)
-    for k in range(STARS):
-        # one member of each component of a bucket meets one of the bucket's largest
-        pick = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", *marks)
-        reps = open_.groupBy("key", "root").agg(F.count("*").alias("n"), F.min(pick).alias("rep")).select("key", "root", "n", "rep.*").drop("h")
-        hubs = reps.groupBy("key").agg(F.max(F.struct("n", "node", "root", *marks)).alias("hub"))
-        pair, alike = _pair("node", "hub.node", (marks, [f"hub.{m}" for m in marks]))
-        star = reps.join(hubs, "key").where(F.col("root") != F.col("hub.root")).where(alike).select(*pair).distinct()
-        star = kept(star.join(tried, ["a", "b"], "left_anti"), "line-pairs")
-        links, tried = links.unionByName(linked(star)), tried.unionByName(star)
-        scratch.append(open_)
-        open_ = _open(met, links)
-    scratch.append(open_)
-    full = open_.join(texts.drop("code"), "node")
-    x, y = (full.select("key", *(F.col(c).alias(c + side) for c in ("node", "root", *marks, "n", *_CELLS))) for side in "xy")
-    pair, alike = _pair("nodex", "nodey", ([m + "x" for m in marks], [m + "y" for m in marks]))
-    near = _near([F.col(c + "x") for c in ("n", *_CELLS)], [F.col(c + "y") for c in ("n", *_CELLS)], similarity)
-    on = (x["key"] == y["key"]) & (F.col("nodex") > F.col("nodey")) & (F.col("rootx") != F.col("rooty")) & alike & near
-    more = kept(x.join(y, on).select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "line-pairs")
+    reps = sig.select(F.col("node").alias("rep"), F.col("marks").alias("marked"))
+    first = met.select("node", "marks", F.explode(F.array("rep", "end")).alias("rep")).where("node <> rep").distinct().join(reps, "rep").where(_alike("marks", "marked")).select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b"))
+    first = kept(first.distinct(), "line-pairs")
+    # the one pair of a bucket of two is settled by its marks; larger buckets may hold further pairs
+    touched = first.select(F.explode(F.array("a", "b")).alias("node")).unionByName(met.where("size > 2").select("node")).distinct()
+    texts = kept(_texts(lines, sig.select("node", "h1", "h2").join(touched, "node", "left_semi"), shingle), "line-texts")
+    links = linked(first)
+
+    # members of the buckets that hold different components
+    rooted = met.where("size > 2").join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    open_ = kept(rooted.join(mixed, "key", "left_semi"), "line-open")
+    told = texts.drop("code").join(sig.select("node", "bands", "marks"), "node")
+    full = open_.join(told, "node")
+    x, y = (full.select("key", *(F.col(c).alias(c + side) for c in ("node", "root", "bands", "marks", "n", *_CELLS))) for side in "ab")
+    near = _near("a", "b", similarity)
+    once = x["key"] == F.array_min(F.array_intersect("bandsa", "bandsb"))
+    on = (x["key"] == y["key"]) & (F.col("nodea") > F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & _alike("marksa", "marksb") & near & once
+    more = x.join(y, on).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
+    more = kept(more.join(first, ["a", "b"], "left_anti"), "line-pairs")
     node_class = components(links.unionByName(linked(more)))
 
-    # the first place of each component stays, of a class without links its own first
-    copied = sig.select("node", "h1", "h2", "first", "copies").join(node_class, "node", "left").where("copies > 1 or component is not null")
-    copied = kept(copied.select("h1", "h2", "first", "component"), "line-copies")
-    heads = copied.where("component is not null").groupBy("component").agg(F.min("first").alias("head"))
-    keep = copied.join(bounded(heads, 48), "component", "left").select("h1", "h2", F.coalesce("head", "first").alias("keep"))
-    gone = lines.select("id", "th", "pos", "h1", "h2").join(bounded(keep, 120), ["h1", "h2"]).where(_place() != F.col("keep"))
+    # of all places of a component, or of a class with copies, the first stays
+    wanted = sig.select("node", "h1", "h2", "copies").join(node_class, "node", "left").where("copies > 1 or component is not null")
+    wanted = kept(wanted.select("h1", "h2", F.coalesce("component", "node").alias("class")), "line-classes")
+    places = kept(lines.select("id", "th", "pos", "h1", "h2").join(bounded(wanted, 48), ["h1", "h2"]).select("class", "id", "th", "pos"), "line-places")
+    heads = kept(places.groupBy("class").agg(F.min(_place()).alias("head")), "line-heads")
+    gone = places.join(bounded(heads, 48), "class").where(_place() != F.col("head"))
     out = materialize(gone.groupBy("id", "th").agg(F.sort_array(F.collect_set("pos")).alias("drop")), "line-drops")
     for old in scratch:
         discard(spark, old.scratch)
