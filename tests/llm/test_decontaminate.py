@@ -56,6 +56,34 @@ def test_long_items_and_longest_match():
     assert row == (5 + 55 + 1 + 11, [(5, 60), (61, 72)], {"7"}, 55)
 
 
+def test_longest_match_is_of_one_item(spark):
+    """Two items that overlap do not make one match; places are those of the item."""
+    words = [f"w{k}" for k in range(12)]
+    bench = [("a", " ".join(words[:11])), ("b", " ".join(words[1:]))]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:11])), (3, " ".join(words * 3))], "doc_id long, text string")
+    for block in (8 << 20, 30):
+        got = {r.doc_id: (r.longest_match, r.n_hit, r.n_items) for r in dc.contamination(docs, spark.createDataFrame(bench, "item_id string, text string"), block_bytes=block).collect()}
+        assert got == {1: (11, 12, 2), 2: (11, 11, 2), 3: (11, 36, 2)}
+
+
+def test_longest_match_equals_brute_force():
+    rng = random.Random(11)
+    for _ in range(40):
+        items = [[rng.choice("abc") for _ in range(rng.randint(1, 14))] for _ in range(4)]
+        doc = [rng.choice("abcz") for _ in range(80)]
+        tests = dc.Tests([(str(k), " ".join(w).encode()) for k, w in enumerate(items)], 4)
+        (row,) = dc._rows(tests, [" ".join(doc).encode()], 1 << 20)
+        best = 0
+        for w in items:
+            for p in range(len(w)):
+                for q in range(len(doc)):
+                    n = 0
+                    while p + n < len(w) and q + n < len(doc) and w[p + n] == doc[q + n]:
+                        n += 1
+                    best = max(best, n if n >= min(4, len(w)) else 0)
+        assert row[3] == best
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     bench = spark.createDataFrame([], "item_id long, text string")
