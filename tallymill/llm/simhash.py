@@ -4,14 +4,16 @@
 three-word shingles. ``near_pairs`` finds every pair of distinct fingerprints
 that differ in at most ``RADIUS`` bits:
 
-* Fingerprints are dealt to tiles by one of ``RADIUS + 1`` bit blocks: two that
-  differ in at most ``RADIUS`` bits agree in at least one block, so no pair is
-  lost, and a tile holds about ``N / 2**21`` of N fingerprints.
-* Within a tile all pairs are compared exactly, by numpy exclusive-or and bit
+* Fingerprints are dealt to tiles by population count and by the value of one of
+  ``radius + 1`` bit blocks: two that differ in at most the radius agree in at
+  least one block, so no pair is lost (tiles of population counts alone are met by
+  nearly half of all pairs, which grows with the square of the table). A tile that
+  holds over ``8 * TILE`` is cut further by a salt.
+* Tile pairs of one block value whose population counts differ beyond the radius
+  are skipped: each tile is sent only to the groups in which it meets the others,
+  so one crowded block spreads over many tasks.
+* Within a tile pair all pairs are compared exactly, by numpy exclusive-or and bit
   counts over whole arrays.
-* A tile of over ``TILE`` fingerprints is cut by population count (and a salt).
-  Only tile pairs whose population counts differ by at most the radius meet,
-  each in its own group, so one crowded block spreads over many tasks.
 
 Equal fingerprints collapse to one before any of this; links inside a tile
 leave it as a spanning forest, so a crowd of near copies gives linear rows.
@@ -37,8 +39,6 @@ from tallymill.llm.common import as_bytes, components, forest, materialize, outp
 
 RADIUS = 2
 SHINGLE = 3
-#: Lowest bit and width of the blocks that deal fingerprints to tiles.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
 TILE = 512
 _CHUNK = 1 << 16
 
@@ -78,10 +78,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return src.mapInArrow(run, "id long, fp long")
 
 
-def _block(fp: Column, number: int) -> Column:
-    low, width = BLOCKS[number]
-    value = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
-    return F.lit(number << 32).cast("long").bitwiseOR(value)
+def blocks(radius: int) -> list[tuple[int, int]]:
+    """Lowest bit and width of the ``radius + 1`` blocks that deal fingerprints to tiles."""
+    if not 0 <= radius < 64:
+        raise ValueError("a radius is from 0 to 63 bits")
+    ends = [-(-64 * k // (radius + 1)) for k in range(radius + 2)]
+    return [(low, high - low) for low, high in zip(ends[:-1], ends[1:])]
+
+
+def _block(fp: Column, number: int, low: int, width: int) -> Column:
+    """The value of a block with its number."""
+    value = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
+    return F.struct(F.lit(number).alias("block"), value.alias("value"))
 
 
 def _compare(key: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,13 +123,11 @@ def near_pairs(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     """``(a, b)``: the links between distinct fingerprints of ``fps(fp)`` that
     differ in at most ``radius`` bits, as a spanning forest of each tile: ``b``
     is the first fingerprint of the tile that links of the tile reach from ``a``."""
-    if radius >= len(BLOCKS):
-        raise ValueError("the blocks guarantee pairs up to 2 bits")
-    keyed = fps.select("fp", F.explode(F.array(*[_block(F.col("fp"), k) for k in range(len(BLOCKS))])).alias("key"))
-    crowd = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keyed.join(crowd, "key")
+    keyed = fps.select("fp", F.explode(F.array(*(_block(F.col("fp"), k, *b) for k, b in enumerate(blocks(radius))))).alias("key")).select("fp", "key.*")
+    crowd = keyed.groupBy("block", "value").agg(F.count("*").alias("n")).where("n > 1")
+    met = keyed.join(crowd, ["block", "value"])
 
-    # Small tiles meet themselves. Crowded ones are cut by population count p and a salt s.
+    # tiles by population count p and a salt s; a fingerprint goes to each pair its tile is in
     pop, cuts = F.bit_count("fp"), F.ceil(F.col("n") / F.lit(8 * tile)).cast("int")
     salt = F.pmod(F.xxhash64("fp"), cuts).cast("int")
     here = pop * cuts + salt
@@ -131,24 +137,24 @@ def near_pairs(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
             F.least(t, here).alias("t0"), F.greatest(t, here).alias("t1"), F.when(t == here, 0).when(here < t, 1).otherwise(2).cast("int").alias("side")
         ),
     )
-    whole = F.array(F.struct(F.lit(-1).alias("t0"), F.lit(-1).alias("t1"), F.lit(0).cast("int").alias("side")))
-    dealt = met.select("key", "fp", F.explode(F.when(F.col("n") <= tile, whole).otherwise(others)).alias("m")).select("key", "m.t0", "m.t1", "m.side", "fp")
-    parts = dealt.repartition("key", "t0", "t1").sortWithinPartitions("key", "t0", "t1")
+    group = ["block", "value", "t0", "t1"]
+    dealt = met.select("block", "value", "fp", F.explode(others).alias("m")).select("block", "value", "m.t0", "m.t1", "m.side", "fp")
+    parts = dealt.repartition(*group).sortWithinPartitions(*group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(table: np.ndarray) -> pa.RecordBatch:
-            group = np.cumsum(np.concatenate(([0], (np.diff(table[:3], axis=1) != 0).any(axis=0).astype(np.int64))))
-            fp = table[4].view(np.uint64)
-            i, j = _compare(group, table[3], fp, radius)
+            group = np.cumsum(np.concatenate(([0], (np.diff(table[:4], axis=1) != 0).any(axis=0).astype(np.int64))))
+            fp = table[5].view(np.uint64)
+            i, j = _compare(group, table[4], fp, radius)
             # the forest of each group by itself: a node is a row of the table
             label = forest(i, j, len(group))
             child = np.flatnonzero(label != np.arange(len(label)))
-            return pa.RecordBatch.from_arrays([pa.array(table[4][child]), pa.array(table[4][label[child]])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(table[5][child]), pa.array(table[5][label[child]])], names=["a", "b"])
 
-        held = np.zeros((5, 0), np.int64)
+        held = np.zeros((6, 0), np.int64)
         for batch in batches:
             held = np.concatenate((held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])), axis=1)
-            last = (held[:3] != held[:3, -1:]).any(axis=0)
+            last = (held[:4] != held[:4, -1:]).any(axis=0)
             cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
             if cut:
                 yield links(held[:, :cut])
