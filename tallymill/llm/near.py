@@ -8,7 +8,11 @@ are further apart. ``similar_links`` finds those by MinHash:
   the similarity; texts of similarity 0.8 meet in a band with probability 0.997.
 * Texts that SimHash or an equal set has linked are one component from the
   start. ``STARS`` rounds pair one text of each component in a bucket with one of
-  its largest; then all texts of different components in a bucket are paired.
+  its largest; then texts of different components in a bucket are compared by odd
+  sketches (``CELLS`` words of parities of the hashes of a set): as many bits as two
+  sketches differ in, so many shingles at least are in one set alone. A pair that
+  this bound rules out is none for certain, so a crowded bucket puts out only pairs
+  close to the threshold or above it.
 * A pair counts if the exact similarity of its sets reaches the threshold.
 
 Defined results: as in ``simhash``; a text of fewer than five words is one
@@ -22,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm import simhash
@@ -31,10 +35,12 @@ from tallymill.llm.common import as_bytes, components, materialize
 SIMILARITY = 0.8
 WORDS = 5
 BANDS, ROWS = 25, 7
-STARS = 3
+STARS = 2
+CELLS = 32
 _RANDOM = random.Random(23)
 _MASKS = np.array([_RANDOM.getrandbits(64) for _ in range(BANDS * ROWS)], np.uint64)
 _CHUNK = 1 << 12
+_ODD = [f"s{w}" for w in range(CELLS)]
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -61,8 +67,16 @@ def bands(hashes: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, ROWS))]
 
 
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """``CELLS`` words of parities of a set of hashes."""
+    out = np.zeros(CELLS, np.uint64)
+    np.bitwise_xor.at(out, (hashes % np.uint64(CELLS)).astype(np.int64), np.uint64(1) << (hashes >> np.uint64(8) & np.uint64(63)))
+    return out
+
+
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fp, shape, bands, hashes)`` of each row; equal sets have an equal shape."""
+    """``(id, fp, shape, bands, hashes, n, s0, s1, ...)`` of each row, with the size of the set
+    and its sketch; equal sets have an equal shape."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -74,10 +88,22 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             keys = pa.FixedSizeListArray.from_arrays(long([k for s in sets for k in bands(s)]), BANDS).cast(pa.list_(pa.int64()))
             ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             hashes = pa.ListArray.from_arrays(pa.array(ends), long(np.concatenate([np.zeros(0, np.uint64), *sets])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), long([simhash.fingerprint(t) for t in texts]), long([xxhash.xxh64_intdigest(s.tobytes()) for s in sets]), keys, hashes], names=["id", "fp", "shape", "bands", "hashes"])
+            odd = np.array([odd_sketch(s) for s in sets], np.uint64).reshape(len(sets), CELLS)
+            columns = {
+                "id": batch.column(0), "fp": long([simhash.fingerprint(t) for t in texts]), "shape": long([xxhash.xxh64_intdigest(s.tobytes()) for s in sets]), "bands": keys, "hashes": hashes,
+                "n": pa.array([len(s) for s in sets], pa.int32()), **{c: long(odd[:, w]) for w, c in enumerate(_ODD)},
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "id long, fp long, shape long, bands array<long>, hashes array<long>")
+    return src.mapInArrow(run, "id long, fp long, shape long, bands array<long>, hashes array<long>, n int, " + ", ".join(f"{c} long" for c in _ODD))
+
+
+def _near(similarity: float, x: str = "x", y: str = "y") -> Column:
+    """Whether the sizes and sketches of two sets allow the similarity: of sets with so much
+    in common, (1 - s) / (1 + s) of both sizes at most is in one alone."""
+    apart = sum((F.bit_count(F.col(c + x).bitwiseXOR(F.col(c + y))) for c in _ODD), F.lit(0))
+    return apart * (1 + similarity) <= (1 - similarity) * (F.col("n" + x) + F.col("n" + y)) + 1e-6
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -105,7 +131,9 @@ def similar_links(rows: DataFrame, known: DataFrame, similarity: float = SIMILAR
 
     left = open_(links)
     touched = left.select("shape").distinct()
-    sets = materialize(rows.join(touched, "shape", "left_semi").groupBy("shape").agg(F.min("fp").alias("fp"), F.first("hashes").alias("hashes")), "near-sets")
+    one = (F.first(c).alias(c) for c in ("hashes", "n", *_ODD))
+    sets = materialize(rows.join(touched, "shape", "left_semi").groupBy("shape").agg(F.min("fp").alias("fp"), *one), "near-sets")
+    odd = {side: sets.select(F.col("shape").alias(side), *(F.col(c).alias(c + side) for c in ("n", *_ODD))) for side in "xy"}
     tried = None
     for k in range(STARS + 1):
         if not left.limit(1).count():
@@ -115,11 +143,11 @@ def similar_links(rows: DataFrame, known: DataFrame, similarity: float = SIMILAR
             pick = F.struct(F.xxhash64("shape", F.lit(k)).alias("h"), "shape")
             reps = left.groupBy("key", "root").agg(F.count("*").alias("n"), F.min(pick)["shape"].alias("shape"))
             hubs = reps.groupBy("key").agg(F.max(F.struct("n", "shape", "root")).alias("hub"))
-            pairs = reps.join(hubs, "key").where("root <> hub.root").select(F.greatest("shape", "hub.shape").alias("x"), F.least("shape", "hub.shape").alias("y"))
+            pairs = reps.join(hubs, "key").where("root <> hub.root").select(F.greatest("shape", "hub.shape").alias("x"), F.least("shape", "hub.shape").alias("y")).distinct()
+            pairs = pairs.join(odd["x"], "x").join(odd["y"], "y").where(_near(similarity)).select("x", "y")
         else:
-            p, q = left.select("key", F.col("shape").alias("x"), F.col("root").alias("rx")), left.select("key", F.col("shape").alias("y"), F.col("root").alias("ry"))
-            pairs = p.join(q, "key").where("x > y and rx <> ry").select("x", "y")
-        pairs = pairs.distinct()
+            p, q = (left.select("key", F.col("shape").alias(side), F.col("root").alias("r" + side)).join(odd[side], side) for side in "xy")
+            pairs = p.join(q, (p["key"] == q["key"]) & (F.col("x") > F.col("y")) & (F.col("rx") != F.col("ry")) & _near(similarity)).select("x", "y").distinct()
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"), "near-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = links.unionByName(materialize(_verified(pairs, sets, similarity), "near-links"))
