@@ -40,7 +40,7 @@ from tallymill.llm.common import as_bytes, discard, materialize, output_name
 WINDOW = 10
 SHARD = 1 << 20
 BLOCK_BYTES = 8 << 20
-PART = 1 << 22
+PART = 1 << 18
 _NOT_WORD = bytes(b for b in range(128) if not (0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A))
 _TABLE = bytes.maketrans(bytes(range(0x41, 0x5B)) + _NOT_WORD, bytes(range(0x61, 0x7B)) + b" " * len(_NOT_WORD))
 

@@ -39,7 +39,8 @@ STARS = 2
 CELLS = 32
 _RANDOM = random.Random(23)
 _MASKS = np.array([_RANDOM.getrandbits(64) for _ in range(BANDS * ROWS)], np.uint64)
-_CHUNK = 1 << 12
+_CHUNK = 1 << 10
+_ROWS = 256
 _ODD = [f"s{w}" for w in range(CELLS)]
 
 
@@ -69,9 +70,9 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 def odd_sketch(hashes: np.ndarray) -> np.ndarray:
     """``CELLS`` words of parities of a set of hashes."""
-    out = np.zeros(CELLS, np.uint64)
-    np.bitwise_xor.at(out, (hashes % np.uint64(CELLS)).astype(np.int64), np.uint64(1) << (hashes >> np.uint64(8) & np.uint64(63)))
-    return out
+    place = (hashes % np.uint64(CELLS) << np.uint64(6)) | (hashes >> np.uint64(8) & np.uint64(63))
+    odd = np.bincount(place.astype(np.int64), minlength=64 * CELLS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
 def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,7 +83,8 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         import xxhash
 
         long = lambda values: pa.array(np.array(values, np.uint64).view(np.int64))
-        for batch in batches:
+        # sets are held for a few rows at a time: they take more than the texts
+        for batch in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
             texts = as_bytes(batch.column(1))
             sets = [shingles(t) for t in texts]
             keys = pa.FixedSizeListArray.from_arrays(long([k for s in sets for k in bands(s)]), BANDS).cast(pa.list_(pa.int64()))
