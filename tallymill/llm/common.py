@@ -3,6 +3,7 @@ connected components over DataFrames, and array helpers for Arrow batches."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,11 +15,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (tests on one machine) a local folder is
-    made and remembered in the session.
+    Only where the setting is absent and all tasks run in the driver's process (tests
+    on one machine) a local folder is made and remembered in the session; on a
+    cluster its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallymill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,12 +50,7 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def table_bytes(df: DataFrame) -> int:
-    """Size that Catalyst knows for ``df`` (file sizes for a scan)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph given as rows ``(a, b)``.
 
     Returns ``(node, component)`` for every node that has an edge to another
@@ -72,7 +71,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         "edges",
     )
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = cur.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(cur.select("lo", "hi"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
@@ -92,8 +91,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if tuple(now) == before:
             break
         before = tuple(now)
-    else:
-        raise RuntimeError("components did not settle")
     roots = cur.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return cur.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(roots)
 

@@ -40,6 +40,9 @@ from tallymill.llm.labelled import held_out, sample_ids, sample_rows
 SAMPLE = 2000
 SAMPLE_BYTES = 1 << 14
 THRESHOLD = 0.5
+#: The field climbs on windows of so many words, at most so many of them, of a document at most
+#: so many around marked words and two spread ones; scoring has no such bounds.
+WIDTH, WINDOWS, MARKED = 32, 16_000, 6
 CHUNK = 128
 #: Documents a feature must be in to get a weight: a part of the sample, within these bounds.
 RARE = (3, 8)
@@ -216,7 +219,7 @@ class Chain:
                 break
         return self
 
-    def _climb(self, sample: _Sample, chosen: np.ndarray, width: int = 32, most: int = 16_000, rounds: int = 40) -> None:
+    def _climb(self, sample: _Sample, chosen: np.ndarray, width: int = WIDTH, most: int = WINDOWS, rounds: int = 40) -> None:
         """Gradient ascent (Adagrad) on windows of the chosen documents: those
         around marked words and evenly spread ones."""
         rng = np.random.default_rng(7)
@@ -225,7 +228,7 @@ class Chain:
             n = len(sample.tokens[d])
             if n:
                 hits = np.flatnonzero(sample.state(d))
-                starts = {max(0, int(h) - int(rng.integers(width))) for h in hits[:6]} | {int(rng.integers(max(1, n - width + 1))) for _ in range(2)}
+                starts = {max(0, int(h) - int(rng.integers(width))) for h in hits[:MARKED]} | {int(rng.integers(max(1, n - width + 1))) for _ in range(2)}
                 spans += [(d, s) for s in sorted(starts)]
         spans = [spans[k] for k in np.sort(rng.permutation(len(spans))[:most])]
         n = len(spans)
