@@ -3,6 +3,12 @@
 Stages but the last return the columns of ``documents``; the last returns the
 token ids. ``run`` writes each stage's rows to the shared folder and reads them
 again, so a lost executor repeats one stage's tasks at most.
+
+Defined results: null and empty texts are documents like any other (the classifier
+judges them, those left are copies of each other); rows of null ids stay where
+their stage keeps them; rows that repeat id and text are judged alike, and one of them
+stays after near-dedup; an empty table gives an empty result; further columns pass
+through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymill.llm import bpe, decontaminate, lines, near, quality
-from tallymill.llm.common import materialize
+from tallymill.llm.common import discard, materialize
 from tallymill.llm.queries import tokenizer_file
 
 
@@ -58,6 +64,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage for the whole of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.split(' ')[0].lower()}")
+        if before:
+            discard(spark, before)
+        before = docs.scratch
     return STAGES[-1][1](spark, docs, sf_dir)
