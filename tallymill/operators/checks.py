@@ -23,12 +23,13 @@ def summarised(checks: list[DataFrame]) -> DataFrame:
     return rows.groupBy("check").agg(n("pass").alias("passed"), n("fail").alias("failed"), n("not-applicable").alias("not_applicable"), F.max(F.abs(F.col("page_value") - F.col("counterpart"))).alias("max_delta"), verdict.alias("result"))
 
 
-def set_cover(rows: DataFrame, item: str, features: list[str], most: int = 25) -> list:
+def set_cover(rows: DataFrame, item: str, features: list[str]) -> list:
     """Greedy sample: items that cover most values not yet covered, ties to the
-    lowest item. Few rounds; each is one aggregation and keeps one id on the driver."""
+    lowest item, until all are covered. A round for each item of the cover; each is one
+    aggregation and keeps one id on the driver."""
     chosen: list = []
     long = rows.unpivot([item], features, "feature", "value").where("value is not null").distinct()
-    for _ in range(most):
+    while True:
         covered = long.where(F.col(item).isin(chosen)).select("feature", "value").distinct()
         best = long.join(covered, ["feature", "value"], "left_anti").groupBy(item).count().orderBy(F.desc("count"), item).first()
         if best is None:

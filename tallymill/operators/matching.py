@@ -36,17 +36,18 @@ def nearest(left: DataFrame, right: DataFrame, by: list[str], left_at: str, righ
     """For each left row the right row of the same ``by`` with the least distance,
     ties to the lower right id; an exact hit has distance zero and so wins.
 
-    One ordered pass in place of a join of all pairs: both tables are laid in one
-    sequence, and the neighbours before and after are carried along it.
+    No join of all pairs: both tables are laid in one sequence, and the neighbour
+    before is carried along it forwards, the one after backwards. Both windows run
+    from the start of a group to the current row, so each is one pass.
     """
     l = left.select(*by, F.col(left_at).alias("at_"), F.col(left_id).alias(left_id), F.lit(None).cast(right.schema[right_id].dataType).alias("rid_"), F.lit(1).alias("is_left_"))  # noqa: E741
     r = right.groupBy(*by, F.col(right_at).alias("at_")).agg(F.min(right_id).alias("rid_")).select(*by, "at_", F.lit(None).cast(left.schema[left_id].dataType).alias(left_id), "rid_", F.lit(0).alias("is_left_"))
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*by).orderBy("at_", "is_left_")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    w, so_far = Window.partitionBy(*by), (Window.unboundedPreceding, Window.currentRow)
+    forth, back = w.orderBy("at_", "is_left_").rowsBetween(*so_far), w.orderBy(F.desc("at_"), F.desc("is_left_")).rowsBetween(*so_far)
     spot = F.when(F.col("is_left_") == 0, F.struct("at_", "rid_"))
-    all_ = l.unionByName(r).withColumn("b_", F.last(spot, True).over(back)).withColumn("a_", F.first(spot, True).over(ahead)).where("is_left_ = 1")
+    all_ = l.unionByName(r).withColumn("b_", F.last(spot, True).over(forth)).withColumn("a_", F.last(spot, True).over(back)).where("is_left_ = 1")
     far = lambda c: F.struct(F.abs(F.col("at_") - F.col(f"{c}.at_")).alias("distance"), F.col(f"{c}.rid_").alias("rid"))
     best = F.array_min(F.filter(F.array(F.when(F.col("b_").isNotNull(), far("b_")), F.when(F.col("a_").isNotNull(), far("a_"))), lambda x: x.isNotNull()))
     return all_.select(*by, left_id, best.alias("best")).where("best is not null").select(*by, left_id, F.col("best.rid").alias(right_id), F.col("best.distance").alias("distance"))

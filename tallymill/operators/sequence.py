@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +21,9 @@ def periods(df: DataFrame, by: list[str], order: list[str], minute: str, bounds:
     back = F.coalesce((F.col(minute) < F.lag(minute).over(w)).cast("int"), F.lit(0))
     df = df.withColumn("b_", b).withColumn("back_", back)
     df = df.withColumn("c_", F.sum("back_").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    rest = F.min(F.col("b_") - F.col("c_")).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # the rest of a group is what comes first in the reversed order: a running minimum
+    reverse = Window.partitionBy(*by).orderBy(*(F.desc(o) for o in order))
+    rest = F.min(F.col("b_") - F.col("c_")).over(reverse.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return df.withColumn(name, F.greatest(F.lit(0), F.col("c_") + rest).cast("bigint")).drop("b_", "back_", "c_")
 
 
@@ -84,3 +90,21 @@ def collapse_pairs(df: DataFrame, by: list[str], outcome: str, weak: str, strong
     w = Window.partitionBy(*by)
     pair = (F.count("*").over(w) == 2) & (F.sort_array(F.collect_set(outcome).over(w)) == F.sort_array(F.array(F.lit(weak), F.lit(strong))))
     return df.withColumn("pair_", pair).where(~F.col("pair_") | (F.col(outcome) == strong)).drop("pair_")
+
+
+def common_step(value: str, tolerance: float = 0.05) -> Column:
+    """An aggregate of distinct positive values: the largest step of which all are
+    multiples up to the tolerance. Remainders are to the nearest multiple, so noise
+    below a multiple counts as noise and not as a residue. Groups are sets of values
+    on one axis, so one Arrow batch holds a group."""
+
+    def meet(a: float, b: float) -> float:
+        while b > tolerance:
+            a, b = b, abs(math.remainder(a, b))
+        return a
+
+    @F.pandas_udf("double")
+    def step(v: pd.Series) -> float:
+        return float(reduce(lambda x, y: meet(max(x, y), min(x, y)), sorted(v)))
+
+    return step(value)

@@ -62,9 +62,11 @@ _BOARD_SQL = f"""WITH {LONG}, named AS (SELECT l.*, s_name, s_nationkey, n_name
 )
 def leaderboards(spark: SparkSession, d: str) -> DataFrame:
     """Every board with competition ranks; player boards are capped, ties at the cap stay."""
-    ranked = competition_rank(board_rows(spark, d), ["board"], "value", F.col("higher"))
-    kept = cap_with_ties(ranked, CAP, where=F.col("scope") == "player")
-    return kept.select("board", "metric", "scope", "aggregation", "rank", "entity_id", "entity_name", "team_name", "value", "matches_played", "per_match")
+    rows = board_rows(spark, d)
+    # apart, so that the cap is a plain bound on the rank, which cuts player boards ahead of the shuffle
+    players = cap_with_ties(competition_rank(rows.where("scope = 'player'"), ["board"], "value", F.col("higher")), CAP)
+    teams = competition_rank(rows.where("scope = 'team'"), ["board"], "value", F.col("higher"))
+    return players.unionByName(teams).select("board", "metric", "scope", "aggregation", "rank", "entity_id", "entity_name", "team_name", "value", "matches_played", "per_match")
 
 
 @query(

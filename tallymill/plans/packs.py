@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -174,19 +173,9 @@ def centroids(spark: SparkSession, d: str) -> DataFrame:
 
 @query("approximate_unit")
 def approximate_unit(spark: SparkSession, d: str) -> DataFrame:
-    """The largest step that all values are near multiples of, by repeated remainders."""
-
-    @F.pandas_udf("double")
-    def unit(v: pd.Series) -> float:
-        step = 0.0
-        for x in sorted(set(v.round(6))):
-            a, b = max(step, x), min(step, x)
-            while b > 0.05:
-                a, b = b, a % b if a % b < b - 0.05 else 0.0
-            step = a
-        return float(step)
-
-    return table(spark, d, "lineitem").groupBy("l_linenumber").agg(unit("l_quantity").alias("unit"))
+    """The largest step that all quantities of a line number are near multiples of."""
+    values = table(spark, d, "lineitem").select("l_linenumber", F.round("l_quantity", 6).alias("v")).distinct()
+    return values.groupBy("l_linenumber").agg(sequence.common_step("v").alias("unit"))
 
 
 # --- sequences -------------------------------------------------------------------------

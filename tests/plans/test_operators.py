@@ -98,7 +98,9 @@ def test_checks_and_cover(spark):
     r = checks.summarised([checks.check(df, "c", "k", F.col("a"), F.col("b"), 0.2)]).first()
     assert (r.passed, r.failed, r.not_applicable, r.result) == (1, 1, 1, "fail")
     rows = spark.createDataFrame([("b", "x", "1"), ("a", "x", "2"), ("c", "y", "2")], "id string, venue string, round string")
-    assert checks.set_cover(rows, "id", ["venue", "round"]) == ["a", "b", "c"] or set(checks.set_cover(rows, "id", ["venue", "round"])) <= {"a", "b", "c"}
+    cover = checks.set_cover(rows, "id", ["venue", "round"])
+    told = {r.id: {("v", r.venue), ("r", r.round)} for r in rows.collect()}
+    assert set().union(*(told[c] for c in cover)) == set().union(*told.values()) and len(cover) == len(set(cover))
 
 
 def test_publish_swaps_all_or_none(spark, tmp_path):
@@ -215,3 +217,50 @@ def test_every_marker_is_returned(spark):
     got = QUERIES["linked_markers"](spark, FOLDER).collect()
     assert sorted(r.marker for r in got) == [k for k in range(500) if k // 8 % 2 == 0]
     assert any(r.ordinal is None for r in got) and any(r.ordinal is not None for r in got)
+
+
+def test_gates_fail(spark):
+    """Each gate lets good rows through and fails with its message on bad ones."""
+    import pytest
+    from pyspark.sql import functions as F
+
+    from tallymill.operators import gates
+
+    good = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "k int, v string")
+    bad = good.union(spark.createDataFrame([(2, "c")], "k int, v string"))
+    assert {tuple(r) for r in gates.single_valued(good, ["k"], "v").collect()} == {(1, "a"), (2, "b")}
+    with pytest.raises(Exception, match="several values"):
+        gates.single_valued(bad, ["k"], "v").collect()
+    left = spark.createDataFrame([(1,), (2,)], "k int")
+    once = spark.createDataFrame([(1, "x"), (2, "y"), (9, "z")], "k int, w string")
+    assert {tuple(r) for r in gates.exactly_one(left, once, ["k"], ["w"]).collect()} == {(1, "x"), (2, "y")}
+    for wrong in (once.union(once.where("k = 1")), once.where("k <> 2")):
+        with pytest.raises(Exception, match="exactly one match"):
+            gates.exactly_one(left, wrong, ["k"], ["w"]).collect()
+    minutes = lambda starter, on, off: spark.range(1).select(gates.minutes_played(F.lit(starter), F.lit(on).cast("int"), F.lit(off).cast("int"), F.lit(90)).alias("m")).first().m
+    assert [minutes(True, None, None), minutes(True, None, 60), minutes(False, 60, None), minutes(False, None, None)] == [90, 60, 30, 0]
+    for wrong in ((False, None, 70), (False, 80, 70)):
+        with pytest.raises(Exception, match="contradict"):
+            minutes(*wrong)
+    at = lambda v: spark.range(1).select(gates.within(F.lit(v), 0.0, 100.0, 0.5, "outside").alias("v")).first().v
+    assert [at(-0.4), at(50.0), at(100.5)] == [0.0, 50.0, 100.0]
+    with pytest.raises(Exception, match="outside"):
+        at(101.0)
+    assert gates.same_columns(once, ["w", "k"]).columns == ["w", "k"]
+    with pytest.raises(ValueError, match="undeclared"):
+        gates.same_columns(once, ["k"])
+
+
+def test_common_step_ignores_noise(spark):
+    from tallymill.operators import sequence
+
+    rows = [("a", 2.4 * k + n) for k, n in ((1, 0.0), (3, -0.004), (7, 0.003), (12, -0.002))] + [("b", v) for v in (10.0, 15.0, 35.0)]
+    got = {r.g: r.unit for r in spark.createDataFrame(rows, "g string, v double").groupBy("g").agg(sequence.common_step("v").alias("unit")).collect()}
+    assert abs(got["a"] - 2.4) < 0.02 and got["b"] == 5.0
+
+
+def test_cover_has_no_bound(spark):
+    from tallymill.operators import checks
+
+    rows = spark.createDataFrame([(k, f"v{k}", None) for k in range(28)], "id int, a string, b string")
+    assert checks.set_cover(rows, "id", ["a", "b"]) == list(range(28))
