@@ -62,8 +62,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return pii.find_pii(docs, pii.train(docs)).drop("redactions")
+    return pii.find_pii(_table(spark, sf_dir, "documents"), pii.train(spark)).drop("redactions")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
