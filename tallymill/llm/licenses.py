@@ -1,9 +1,9 @@
 """License scan with ordered signature rules.
 
 Rules are hand-written patterns over the words of a text (lower case, one space
-between words), most specific first. Families with versions are written once
-and spelled out from their parameters, which makes a few hundred rules. A rule
-names a keyword; one Aho-Corasick pass over the normalised text finds the
+between words), most specific first: passages that tell license texts apart
+(``license_texts``), and names and identifiers, of which families with versions are
+written once and spelled out from their parameters. A rule names a keyword; one Aho-Corasick pass over the normalised text finds the
 keywords that occur, and only their rules run. Matches of all rules are then
 resolved in rule order: a match that lies inside a match of higher priority is
 suppressed, overlaps that do not contain each other both stay.
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymill.llm.common import as_bytes
+from tallymill.llm.license_texts import TEXTS
 
 #: The phrases of the base columns and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -112,29 +113,9 @@ def rules() -> list[Rule]:
             add(label, "creative", rf"creative commons {' '.join(spelled[k] for k in kind.split(' '))} {' '.join(v.split('.'))}", 0.97)
         add(f"cc-{kind.replace(' ', '-')}", "cc", rf"cc {kind}", 0.85)
     add("cc0-1.0", "cc0", r"cc0(?: 1 0)?", 0.95)
-    # 5. texts of the permissive licenses
-    for label, keyword, pattern, weight in (
-        ("mit", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy(?: of this software)?", 0.97),
-        ("mit", "license", r"(?:the )?(?:mit|expat|x11) licen[cs]e", 0.95),
-        ("mit", "licensed", r"licensed under (?:the )?mit", 0.93),
-        ("isc", "hereby", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 0.97),
-        ("isc", "license", r"(?:the )?isc licen[cs]e", 0.95),
-        ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software", 0.95),
-        ("bsd-3-clause", "endorse", r"may be used to endorse or promote products derived from this software", 0.95),
-        ("bsd-2-clause", "redistribution", r"redistribution and use in source and binary forms(?: with or without modification)?", 0.9),
-        ("bsd-3-clause", "bsd", r"(?:new|modified|revised|3 clause|three clause) bsd(?: licen[cs]e)?|bsd (?:3|three) clause(?: licen[cs]e)?", 0.95),
-        ("bsd-2-clause", "bsd", r"(?:simplified|2 clause|two clause) bsd(?: licen[cs]e)?|bsd (?:2|two) clause(?: licen[cs]e)?", 0.95),
-        ("bsd-4-clause", "bsd", r"(?:original|4 clause|four clause) bsd(?: licen[cs]e)?|bsd (?:4|four) clause(?: licen[cs]e)?", 0.95),
-        ("bsd", "bsd", r"bsd (?:style )?licen[cs]e", 0.85),
-        ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e", 0.95),
-        ("unlicense", "unlicense", r"(?:the )?unlicense", 0.9),
-        ("wtfpl", "wtfpl", r"wtfpl", 0.9),
-        ("public-domain", "domain", r"(?:released (?:in)?to|placed in|dedicated to) the public domain", 0.85),
-        ("proprietary", "reserved", r"all rights reserved", 0.6),
-        ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)", 0.9),
-        ("apache", "apache", r"licensed under (?:the )?apache", 0.9),
-    ):
-        add(label, keyword, pattern, weight)
+    # 5. passages of license texts
+    for entry in TEXTS:
+        add(*entry)
     # 6. long names without a version, then the base phrases
     for name, phrase in long.items():
         add(name, key.get(name, "license"), phrase, 0.8)

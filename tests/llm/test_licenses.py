@@ -59,3 +59,47 @@ def test_operator_edges(spark):
     assert (by[None].n_base, by[None].first_word, by[None].last_word) == (2, 0, 2)
     assert by[4].first_word == 30000 and by[4].base_labels == "apache"
     assert licenses.scan_licenses(df.limit(0)).count() == 0
+
+
+def _written(tree, rng):
+    """A text that a parsed pattern matches."""
+    out = ""
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "SUBPATTERN":
+            out += _written(arg[3], rng)
+        elif name == "BRANCH":
+            out += _written(rng.choice(arg[1]), rng)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(_written(arg[2], rng) for _ in range(arg[0] if rng.random() < 0.6 else min(arg[1], arg[0] + 1)))
+        elif name == "IN":
+            out += chr(arg[0][1]) if str(arg[0][0]) == "LITERAL" else "7" if "DIGIT" in str(arg[0]) else "a"
+    return out
+
+
+def test_the_gate_hides_no_match():
+    """Texts written from each rule's own pattern hold its keyword and are found, by the rule or one above it."""
+    import random
+    from re import _parser
+
+    rng = random.Random(5)
+    scanner = licenses.Scanner()
+    assert len(scanner.rules) > 300
+    for rule in scanner.rules:
+        for _ in range(20):
+            text = _written(_parser.parse(rule.pattern.pattern.decode()), rng)
+            assert rule.keyword in text, (rule.label, text)
+            spans = scanner.scan(text.encode())[7]
+            assert any(s == 0 for s, *_ in spans), (rule.label, text, spans)
+
+
+def test_passages_of_texts():
+    scan = licenses.Scanner().scan
+    found = lambda t: set(scan(t.encode())[5].split(","))
+    assert "mpl-2.0" in found("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.")
+    assert "zlib" in found("Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.")
+    assert "unlicense" in found("This is free and unencumbered software released into the public domain.")
+    assert "agpl-3.0" in found("all users interacting with it remotely through a computer network")
+    assert found("the server side was public and the license plate was new") == {""}
