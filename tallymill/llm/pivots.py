@@ -11,7 +11,10 @@ the two share only, which the pivots they share tell without any look-up.
 Equal vectors are one class before the index, so exact copies cost nothing; a
 list of over ``TILE`` classes is cut by a salt, and each pair of cuts meets in a
 group of its own. Links leave a group as counts and a spanning forest (linear
-rows), never as pairs. What is broadcast is ``MAX_PIVOTS`` vectors a dimension.
+rows), never as pairs. The number of pivots grows with the square root of the number
+of classes up to ``MAX_PIVOTS``, which is what is broadcast for each vector length. The
+index is approximate: of pairs at the threshold it finds over 0.9 (tests), of closer
+ones more; every link it gives is exact.
 
 Defined results: null, empty or zero vectors, those with null or non-finite
 components and those of null ids link with nothing (``n_links`` 0, their own
@@ -34,7 +37,7 @@ from tallymill.llm.labelled import low_hashes
 
 COSINE = 0.9
 NEAREST = 6
-MIN_PIVOTS, MAX_PIVOTS = 32, 256
+MIN_PIVOTS, MAX_PIVOTS = 32, 1023
 #: Vectors the pivots are chosen from.
 SAMPLE = 4096
 TILE = 1024
@@ -75,23 +78,11 @@ def nearest(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.take_along_axis(top, np.argsort(-np.take_along_axis(like, top, 1), axis=1, kind="stable"), 1)
 
 
-def _bits(top: np.ndarray) -> np.ndarray:
-    """Pivot sets as rows of 64-bit words."""
-    out = np.zeros((len(top), MAX_PIVOTS // 64), np.uint64)
-    for k in range(top.shape[1]):
-        np.bitwise_or.at(out, (np.arange(len(top)), top[:, k] // 64), np.uint64(1) << (top[:, k] % 64).astype(np.uint64))
-    return out
-
-
-def _upto(q: int) -> np.ndarray:
-    """Words with the bits 0 to q."""
-    value = (1 << q + 1) - 1
-    return np.array([value >> 64 * k & (1 << 64) - 1 for k in range(MAX_PIVOTS // 64)], np.uint64)
-
-
-def links(x: np.ndarray, bits: np.ndarray, side: np.ndarray, last_pivot: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs ``i < j`` of one list that link and are on no earlier common list."""
-    left, right, upto = [], [], _upto(last_pivot)
+def links(x: np.ndarray, near: np.ndarray, side: np.ndarray, last_pivot: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs ``i < j`` of one list that link and are on no earlier common list: of the
+    pivots up to the list's last one, they share just the list's two."""
+    left, right = [], []
+    near = np.where(near <= last_pivot, near, -1 - np.arange(near.shape[1]))  # those beyond meet nothing
     for at in range(0, len(x), 512):
         like = x[at : at + 512] @ x[at:].T
         i, j = np.nonzero(like >= cosine - 1e-9)
@@ -100,7 +91,11 @@ def links(x: np.ndarray, bits: np.ndarray, side: np.ndarray, last_pivot: int, co
         for part in range(0, len(i), 1 << 18):
             a, b = i[part : part + (1 << 18)], j[part : part + (1 << 18)]
             ok = (side[a] == 0) | (side[a] != side[b])
-            ok &= np.bitwise_count(bits[a] & bits[b] & upto).sum(axis=1) == 2
+            shared = np.zeros(len(a), np.int8)
+            for k in range(near.shape[1]):
+                one = near[a, k]
+                shared += ((one[:, None] == near[b]) & (one[:, None] >= 0)).any(axis=1)
+            ok &= shared == 2
             a, b = a[ok], b[ok]
             close = np.abs(like[a - at, b - at] - cosine) < 1e-9
             if close.any():  # settle the edge by one exact summation order
@@ -128,7 +123,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = materialize(grouped.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "head", "n", "v"), "vector-classes")
 
     count = classes.count()
-    size = int(min(MAX_PIVOTS, max(MIN_PIVOTS, 2 * count**0.5)))
+    size = int(min(MAX_PIVOTS, max(MIN_PIVOTS, 1.1 * count**0.5)))
     dims = {r.d: r["count"] for r in classes.groupBy(F.size("v").alias("d")).count().collect()}  # one row a vector length
     sample: dict[int, np.ndarray] = {}
     for d, have in sorted(dims.items()):
@@ -153,16 +148,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                     key = (int(d) << 20) | (low[:, _PAIRS[:, 0]].astype(np.int64) << 10) | low[:, _PAIRS[:, 1]]
                     k = len(_PAIRS)
                     packed = [r.tobytes() for r in raw]
-                    marks = [r.tobytes() for r in _bits(top)]
+                    marks = [r.tobytes() for r in low.astype(np.int16)]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(key.ravel()), pa.array(np.repeat(node[at], k)), pa.array(np.repeat(n[at], k)),
                             pa.array([m for m in marks for _ in range(k)], pa.binary()), pa.array([p for p in packed for _ in range(k)], pa.binary()),
                         ],
-                        names=["key", "node", "n", "bits", "raw"],
+                        names=["key", "node", "n", "near", "raw"],
                     )
 
-    posted = classes.select("node", "n", "v").mapInArrow(post, "key long, node long, n long, bits binary, raw binary")
+    posted = classes.select("node", "n", "v").mapInArrow(post, "key long, node long, n long, near binary, raw binary")
     crowded = posted.groupBy("key").agg(F.count("*").alias("crowd")).where(F.col("crowd") > tile)
     cuts = F.coalesce(F.ceil(F.col("crowd") / F.lit(tile)).cast("int"), F.lit(1))
     salt = F.pmod(F.xxhash64("node"), cuts).cast("int")
@@ -170,8 +165,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         F.sequence(F.lit(0), cuts - 1),
         lambda t: F.struct(F.least(t, salt).alias("t0"), F.greatest(t, salt).alias("t1"), F.when(t == salt, 0).when(salt < t, 1).otherwise(2).cast("int").alias("side")),
     )
-    dealt = posted.join(crowded, "key", "left").select("key", "node", "n", "bits", "raw", F.explode(meets).alias("m"))
-    dealt = dealt.select("key", F.col("m.t0"), F.col("m.t1"), F.col("m.side"), "node", "n", "bits", "raw")
+    dealt = posted.join(crowded, "key", "left").select("key", "node", "n", "near", "raw", F.explode(meets).alias("m"))
+    dealt = dealt.select("key", F.col("m.t0"), F.col("m.t1"), F.col("m.side"), "node", "n", "near", "raw")
     lists = dealt.repartition("key", "t0", "t1").sortWithinPartitions("key", "t0", "t1")
     wide = dict(vectors.select(F.col(vector_col).alias("v")).dtypes)["v"] == "array<double>"
 
@@ -181,9 +176,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 return None
             key, side = rows[0][0], np.array([r[3] for r in rows])
             node, n = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
-            bits = np.frombuffer(b"".join(r[6] for r in rows), np.uint64).reshape(len(rows), -1)
+            near = np.frombuffer(b"".join(r[6] for r in rows), np.int16).reshape(len(rows), -1)
             x = unit(np.frombuffer(b"".join(r[7] for r in rows), np.float64 if wide else np.float32).reshape(len(rows), -1))
-            i, j = links(x, bits, side, key & 1023, cosine)
+            i, j = links(x, near, side, key & 1023, cosine)
             if not len(i):
                 return None
             linked = np.bincount(i, n[j], len(rows)) + np.bincount(j, n[i], len(rows))
