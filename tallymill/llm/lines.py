@@ -17,7 +17,8 @@
    set alone, so a pair that the threshold's bound rules out is none for certain. The
    join puts out each pair once, in its first common bucket, and only pairs close to
    the threshold or above it, however crowded the bucket is (sketches of lines of over
-   about 2,300 characters rule out less).
+   about 2,300 characters rule out less). ``PICKS`` rounds verify for each line the pair
+   of the closest sketch; what still joins different components then is verified too.
 7. Candidates are verified by exact Jaccard similarity of their shingle sets;
    distributed union-find makes components; the first place of each (lowest
    ``doc_id``, then line number) stays.
@@ -34,6 +35,7 @@ lines of null ids come after all others; extra columns pass through.
 from __future__ import annotations
 
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +51,8 @@ STEP = 8
 AGREE = 7
 #: Words of 64 parities in an odd sketch.
 WORDS = 16
+#: Rounds in which each line tests its likeliest partner before the rest is tested.
+PICKS = 1
 BROADCAST_BYTES = 32 << 20
 _RANDOM = random.Random(17)
 _MASKS = [_RANDOM.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
@@ -111,11 +115,15 @@ def _alike(x: str, y: str) -> Column:
     return F.bit_count(bits) <= len(_MASKS) - AGREE
 
 
+def _apart(x: str, y: str) -> Column:
+    """The bits in which two sketches differ."""
+    return sum((F.bit_count(F.col(c + x).bitwiseXOR(F.col(c + y))) for c in _CELLS), F.lit(0))
+
+
 def _near(x: str, y: str, similarity: float) -> Column:
     """Whether two sets, given as size and sketch, can be that similar: of sets with so
     much in common, (1 - s) / (1 + s) of both sizes at most is in one alone."""
-    apart = sum((F.bit_count(F.col(c + x).bitwiseXOR(F.col(c + y))) for c in _CELLS), F.lit(0))
-    return apart * (1 + similarity) <= (1 - similarity) * (F.col("n" + x) + F.col("n" + y)) + 1e-6
+    return _apart(x, y) * (1 + similarity) <= (1 - similarity) * (F.col("n" + x) + F.col("n" + y)) + 1e-6
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -178,12 +186,21 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     told = texts.drop("code").join(sig.select("node", "bands", "marks"), "node")
     full = open_.join(told, "node")
     x, y = (full.select("key", *(F.col(c).alias(c + side) for c in ("node", "root", "bands", "marks", "n", *_CELLS))) for side in "ab")
-    near = _near("a", "b", similarity)
     once = x["key"] == F.array_min(F.array_intersect("bandsa", "bandsb"))
-    on = (x["key"] == y["key"]) & (F.col("nodea") > F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & _alike("marksa", "marksb") & near & once
-    more = x.join(y, on).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
-    more = kept(more.join(first, ["a", "b"], "left_anti"), "line-pairs")
-    node_class = components(links.unionByName(linked(more)))
+    on = (x["key"] == y["key"]) & (F.col("nodea") > F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & _alike("marksa", "marksb") & _near("a", "b", similarity) & once
+    more = x.join(y, on).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"), _apart("a", "b").alias("apart"))
+    more, tried = kept(more, "line-pairs"), first
+    for k in range(PICKS + 1):
+        found = components(links)
+        ends = [found.select(F.col("node").alias(c), F.col("component").alias("c" + c)) for c in "ab"]
+        live = more.join(tried, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+        live = live.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "apart")
+        if k < PICKS:
+            best = (live.groupBy(c).agg(F.min(F.struct("apart", "a", "b")).alias("pick")).select("pick.a", "pick.b") for c in "ab")
+            live = reduce(DataFrame.unionByName, best).distinct()
+        pairs = kept(live.select("a", "b"), "line-picks")
+        links, tried = links.unionByName(linked(pairs)), tried.unionByName(pairs)
+    node_class = components(links)
 
     # of all places of a component, or of a class with copies, the first stays
     wanted = sig.select("node", "h1", "h2", "copies").join(node_class, "node", "left").where("copies > 1 or component is not null")

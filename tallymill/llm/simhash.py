@@ -7,7 +7,7 @@ that differ in at most ``RADIUS`` bits:
 * Fingerprints are dealt to tiles by population count and by the value of one of
   ``radius + 1`` bit blocks: two that differ in at most the radius agree in at
   least one block, so no pair is lost (tiles of population counts alone are met by
-  nearly half of all pairs, which grows with the square of the table). A tile that
+  a third of all pairs, which grows with the square of the table). A tile that
   holds over ``8 * TILE`` is cut further by a salt.
 * Tile pairs of one block value whose population counts differ beyond the radius
   are skipped: each tile is sent only to the groups in which it meets the others,
