@@ -36,8 +36,11 @@ def player_slug(name: Column, code: Column) -> Column:
 
 def match_span(text: Column, needle: str) -> Column:
     """First place of a needle as ``(start, end)``, ignoring case; null where absent."""
-    at = F.locate(needle.lower(), F.lower(text))
-    return F.when(at > 0, F.struct((at - 1).cast("bigint").alias("start"), (at - 1 + len(needle)).cast("bigint").alias("end")))
+    # matched on the text as it is: lowering may change its length
+    pattern = r"(?iu)\Q" + needle + r"\E"
+    found = F.regexp_substr(text, F.lit(pattern))
+    start = F.char_length(F.element_at(F.split(text, pattern, 2), 1))
+    return F.when(found.isNotNull(), F.struct(start.cast("bigint").alias("start"), (start + F.char_length(found)).cast("bigint").alias("end")))
 
 
 def shootout(c: Column) -> tuple[Column, Column, Column]:
@@ -50,10 +53,10 @@ def shootout(c: Column) -> tuple[Column, Column, Column]:
 def knockout_round(c: Column) -> Column:
     """Round by keyword, third place before final."""
     low = F.lower(c)
-    words = (("third", "third-place"), ("bronze", "third-place"), ("32", "round-of-32"), ("16", "round-of-16"), ("quarter", "quarter-final"), ("semi", "semi-final"), ("final", "final"))
+    words = ((r"\b(?:third|3rd)\b|\bbronze\b", "third-place"), (r"\b(?:round of|last) 32\b", "round-of-32"), (r"\b(?:round of|last) 16\b", "round-of-16"), (r"\bquarter", "quarter-final"), (r"\bsemi", "semi-final"), (r"\bfinal\b", "final"))
     out = F.when(F.lit(False), F.lit(""))
     for word, name in words:
-        out = out.when(low.contains(word), F.lit(name))
+        out = out.when(low.rlike(word), F.lit(name))
     return out
 
 

@@ -264,3 +264,12 @@ def test_cover_has_no_bound(spark):
 
     rows = spark.createDataFrame([(k, f"v{k}", None) for k in range(28)], "id int, a string, b string")
     assert checks.set_cover(rows, "id", ["a", "b"]) == list(range(28))
+
+
+def test_spans_and_rounds(spark):
+    rows = [("İstanbul licensed", 9), ("😀 License", 2), ("none", None), ("LICENSE", 0)]
+    got = [r.s and (r.s.start, r.s.end) for r in spark.createDataFrame(rows, "t string, at int").select(text.match_span(F.col("t"), "license").alias("s")).collect()]
+    assert got == [None if at is None else (at, at + 7) for _, at in rows]
+    said = {"Round of 16": "round-of-16", "Match 16": None, "Round of 32": "round-of-32", "3rd place final": "third-place", "Quarter-finals": "quarter-final", "Semi-Final": "semi-final", "Final": "final", "Finalissima": None}
+    rounds = spark.createDataFrame([(k,) for k in said], "t string").select("t", text.knockout_round(F.col("t")).alias("r")).collect()
+    assert {r.t: r.r for r in rounds} == said
