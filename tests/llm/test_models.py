@@ -57,6 +57,42 @@ def test_quality_held_out(spark):
     assert len(out) > 400 and (out.predicted == out.quality).mean() > 0.98
 
 
+def test_quality_scores_equal_plain_sums(spark):
+    """Each row's score is the logistic of the base and one table entry a feature and pair, looked up by plain bisection."""
+    from bisect import bisect_right
+    from math import exp
+
+    small = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.unionByName(docs.limit(2)).unionByName(spark.createDataFrame([(None, None, None, None, None), (10**6, "", "x", "y", 0)], docs.schema))
+    model = quality.train(docs, labels)
+
+    def plain(text):
+        x = quality.features(None if text is None else text.encode())
+        total = model.base + sum(float(t[bisect_right(list(c), v)]) for t, c, v in zip(model.tables, model.cuts, x))
+        for (i, j), table in zip(model.pairs, model.pair_tables):
+            total += float(table[bisect_right(list(model.coarse[i]), x[i]), bisect_right(list(model.coarse[j]), x[j])])
+        return 1 / (1 + exp(-total))
+
+    want = sorted(((r.doc_id, round(plain(r.text), 9)) for r in docs.collect()), key=str)
+    got = quality.score_quality(docs, model).collect()
+    assert sorted(((r.doc_id, round(r.score, 9)) for r in got), key=str) == want
+    assert all(r.predicted == (r.score >= 0.3) for r in got)
+    kept = sorted((r.doc_id for r in quality.keep_good(docs, model).collect()), key=str)
+    assert kept == sorted((r.doc_id for r in got if r.predicted), key=str)
+
+
+def test_toxicity_scores_equal_rows_alone(spark):
+    """A row's score does not depend on the rows beside it, on its partition or on its other columns."""
+    small = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    whole = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    alone = toxicity.score_toxicity(docs.withColumn("score", F.lit(1)).withColumn("spans", F.lit("x")).repartition(23), model)
+    assert {r.doc_id: r.score for r in alone.collect()} == pytest.approx(whole, abs=1e-9)
+    assert all(0 <= s <= 1 for s in whole.values())
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
     scored = toxicity.score_toxicity(docs, toxicity.train(docs, labels))

@@ -45,3 +45,29 @@ def test_stages(spark, tmp_path):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in out[:50]:
         assert list(r.ids) == library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids and r.n_tokens == len(r.ids)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, fp string, line string, probe int"
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null ids, repeated rows, empty texts and columns of clashing names go through every stage."""
+    good, _ = build(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").where("doc_id < 2000")
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, 1, "f", "l", 2) for r in docs.collect()]
+    fresh = "\n".join(f"Senses of number {k} run on and on in their own words and never meet again." for k in range(3))
+    rows += [rows[0], (None, fresh, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None), (4000, "", None, None, None, None, None, None, None)]
+    stage_docs = spark.createDataFrame(rows, SCHEMA)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage_docs = stage(spark, stage_docs, str(tmp_path))
+        assert stage_docs.dtypes == spark.createDataFrame([], SCHEMA).dtypes, name
+        stage_docs = spark.createDataFrame(stage_docs.collect(), SCHEMA)
+    ids = [r.doc_id for r in stage_docs.collect()]
+    assert {i for i, _ in good} <= set(ids) and ids.count(good[0][0]) == 1
+    assert corpus_pipeline.STAGES[-1][1](spark, stage_docs, str(tmp_path)).count() == len(ids)
+
+
+def test_empty_tables(spark, tmp_path):
+    for table, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
