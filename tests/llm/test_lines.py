@@ -103,3 +103,19 @@ def test_sketch_bound_holds(spark):
 
 def test_empty_table(spark):
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_bands_find_pairs_at_the_threshold():
+    """Recall of bands and marks for sets of similarity 0.8 and 0.9, with the masks as they are."""
+    import numpy as np
+
+    masks = np.array([m & (1 << 64) - 1 for m in lines._MASKS], np.uint64)
+    draw = np.random.default_rng(5)
+    for similarity, least in ((0.8, 0.95), (0.9, 0.99)):
+        found, n = 0, 200
+        common = round(2 * n * similarity / (1 + similarity))
+        for _ in range(800):
+            h = draw.integers(0, 1 << 64, 2 * n - common, dtype=np.uint64)
+            equal = (h[:n, None] ^ masks).min(axis=0) == (h[n - common :, None] ^ masks).min(axis=0)
+            found += equal.reshape(lines.BANDS, lines.ROWS).all(axis=1).any() and equal.sum() >= lines.AGREE
+        assert found / 800 >= least
