@@ -4,8 +4,10 @@ connected components over DataFrames, and array helpers for Arrow batches."""
 from __future__ import annotations
 
 import re
+import string
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -132,3 +134,19 @@ def output_name(taken: list[str], wanted: str) -> str:
     while wanted.lower() in low:
         wanted += "_"
     return wanted
+
+
+#: For ``str.translate``: lower-cases A-Z alone.
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
+
+def pieces(text: str, word: re.Pattern, size: int = 1 << 20) -> Iterator[str]:
+    """A text in parts of about ``size`` characters that cut no match of ``word``, a
+    pattern of one repeated class."""
+    s = 0
+    while len(text) - s > size:
+        met = word.match(text, s + size - 1)
+        e = met.end() if met else s + size
+        yield text[s:e]
+        s = e
+    yield text[s:] if s else text
