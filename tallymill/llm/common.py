@@ -150,3 +150,16 @@ def pieces(text: str, word: re.Pattern, size: int = 1 << 20) -> Iterator[str]:
         yield text[s:e]
         s = e
     yield text[s:] if s else text
+
+
+def slices(batch, column: int, size: int = 1 << 22):
+    """An Arrow batch in slices of about ``size`` bytes of a string column, so that what a
+    task makes of the texts does not grow with the batch; a longer text is alone."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    s = 0
+    while s < len(ends):
+        e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + size, "right")))
+        yield batch.slice(s, e - s)
+        s = e

@@ -9,7 +9,7 @@ weight is the mean gain of its features, and a Gumbel draw without replacement
 *Hashing.* Words are mapped to the integers of a dictionary, and a run is a tuple of
 such integers, packed into 64 bits; each distinct tuple's bytes are put together and
 hashed once, and the buckets are joined back to the occurrences by the tuples. The
-dictionary is that of an Arrow batch of documents: integers never leave their task, so no
+dictionary is that of a few thousand documents of a task (``common.slices``): integers never leave their task, so no
 occurrence is shuffled, as a dictionary of the whole corpus would ask for. Each
 document's buckets (two bytes an occurrence) are written to the shared folder, so
 texts are read and hashed once.
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import LOWER, discard, materialize, pieces
+from tallymill.llm.common import LOWER, discard, materialize, pieces, slices
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BUCKETS, SEED, SHARE, LEAST_WORDS = 10_000, 7, 25, 20
@@ -55,11 +55,12 @@ def hashed_runs(texts: list[str | None], buckets: int = BUCKETS) -> list[np.ndar
     words = Dictionary()
     sizes, ids = [], []
     for text in texts:
-        own: list[int] = []
+        n = 0
         for piece in pieces(text or "", WORD):
-            own += map(words.__getitem__, WORD.findall(piece.translate(LOWER)))
-        sizes.append(len(own))
-        ids.append(np.array(own, np.int64))
+            found = WORD.findall(piece.translate(LOWER))
+            ids.append(np.fromiter(map(words.__getitem__, found), np.int64, len(found)))
+            n += len(found)
+        sizes.append(n)
     raw = [w.encode("utf-8", "surrogatepass") for w in words]
     single = np.fromiter((crc32(w) % buckets for w in raw), np.uint16, len(raw))
     flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
@@ -76,7 +77,7 @@ def features(docs: DataFrame, id_col: str | None = "doc_id", text_col: str = "te
     """``(id, n_words, runs)``: the buckets of each row, two bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             runs = hashed_runs(batch.column(1).to_pylist(), buckets)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([(len(r) + 1) // 2 for r in runs], pa.int64()), pa.array([r.tobytes() for r in runs], pa.binary())], names=["id", "n_words", "runs"])
 
