@@ -105,7 +105,7 @@ def bags(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         for _, bucket in subwords([t]):
             count += np.bincount(bucket, minlength=BUCKETS)
         at = np.flatnonzero(count)
-        out.append((at.astype(np.int32), count[at]))
+        out.append((at.astype(np.int32), count[at].astype(np.int32)))
     return out
 
 
@@ -202,13 +202,13 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
         for batch in batches:
             made = bags(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([at for at, _ in made], pa.list_(pa.int32())), pa.array([n for _, n in made], pa.list_(pa.int64()))], names=["id", "lang", "at", "n"]
+                [batch.column(0), batch.column(1), pa.array([at.tobytes() for at, _ in made], pa.binary()), pa.array([n.tobytes() for _, n in made], pa.binary())], names=["id", "lang", "at", "n"]
             )
 
     # one text of each id, so repeated rows do not swell the sample
     texts = known.join(F.broadcast(chosen), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text")).where("text is not null")
-    got = sorted(texts.mapInArrow(run, "id long, lang string, at array<int>, n array<long>").collect(), key=lambda r: (r.id, r.lang))
-    return LanguageModel([(r.lang, np.array(r.at, np.int64), np.array(r.n, np.int64)) for r in got])
+    got = sorted(texts.mapInArrow(run, "id long, lang string, at binary, n binary").collect(), key=lambda r: (r.id, r.lang))
+    return LanguageModel([(r.lang, np.frombuffer(r.at, np.int32), np.frombuffer(r.n, np.int32)) for r in got])
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
