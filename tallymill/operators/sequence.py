@@ -40,22 +40,6 @@ def increases(df: DataFrame, by: list[str], order: list[str], value: str) -> Dat
     return df.withColumn("up_", F.coalesce(F.col(value) > F.lag(value).over(w), F.lit(True))).groupBy(*by).agg(F.bool_and("up_").alias("strictly_increasing"))
 
 
-def anchored_groups(df: DataFrame, by: list[str], value: str, item: str, tolerance: float, name: str = "row") -> DataFrame:
-    """Rows of a page: sorted by ``value``, a new group starts where it exceeds the
-    *first* value of the current group by more than the tolerance. One fold over
-    each page's sorted values; pages are bounded by their producer."""
-    listed = df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), F.col(item).alias("item")))).alias("s"))
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(0).cast("bigint").alias("n"), F.array().cast("array<bigint>").alias("ids"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = acc["anchor"].isNull() | (x["v"] - acc["anchor"] > tolerance)
-        n = acc["n"] + new.cast("bigint")
-        return F.struct(F.when(new, x["v"]).otherwise(acc["anchor"]).alias("anchor"), n.alias("n"), F.concat(acc["ids"], F.array(n)).alias("ids"))
-
-    grouped = listed.select(*by, "s", F.aggregate("s", start, step, lambda a: a["ids"]).alias("ids"))
-    return grouped.select(*by, F.explode(F.arrays_zip("s", "ids")).alias("z")).select(*by, F.col("z.s.v").alias(value), F.col("z.s.item").alias(item), F.col("z.ids").alias(name))
-
-
 def joined_fragments(df: DataFrame, by: list[str], start: str, end: str, text: str, gap: float = 1.0) -> DataFrame:
     """Fragments of a row from left to right, with a space where the gap to the one before is wider than ``gap``."""
     w = Window.partitionBy(*by).orderBy(start, text)

@@ -1,9 +1,7 @@
-"""Marks on a page: frames, candidates, keys, values above labels, clusters."""
+"""Marks on a page: frames, candidates, keys, values above labels."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,30 +32,3 @@ def value_above(labels: DataFrame, values: DataFrame, by: list[str], side: float
     v = values.withColumn("strip_", F.floor(F.col("x") / side)).select(*by, "value", F.col("x").alias("vx"), F.col("y").alias("vy"), "strip_")
     met = l.join(v, [*by, "strip_"]).where((F.abs(F.col("lx") - F.col("vx")) <= side) & (F.col("vy") > F.col("ly")) & (F.col("vy") - F.col("ly") <= rise))
     return met.groupBy(*by, "label").agg(F.min(F.struct((F.col("vy") - F.col("ly")).alias("d"), "value")).alias("m")).select(*by, "label", "m.value")
-
-
-def clusters(points: DataFrame, by: str, radius: float) -> DataFrame:
-    """``(by, id, cluster)``: points closer than the radius are joined, then clusters
-    whose centres are closer than it, until none are; a cluster is named by its
-    lowest id. Merging is a loop over one page's few marks, hence one batch a page."""
-    schema = f"{by} long, id long, cluster long"
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        xy, ids = pdf[["x", "y"]].to_numpy(), pdf["id"].to_numpy()
-        name, centre, moved = ids.copy(), xy.copy(), True
-        while moved:
-            moved = False
-            order = np.argsort(centre[:, 0], kind="stable")
-            for i, a in enumerate(order):
-                for b in order[i + 1 :]:
-                    if centre[b, 0] - centre[a, 0] >= radius:
-                        break
-                    if name[a] != name[b] and np.hypot(*(centre[a] - centre[b])) < radius:
-                        low, high = sorted((name[a], name[b]))
-                        name[name == high] = low
-                        moved = True
-            for k in np.unique(name):
-                centre[name == k] = xy[name == k].mean(axis=0)
-        return pd.DataFrame({by: pdf[by].to_numpy(), "id": ids, "cluster": name})
-
-    return points.select(by, "id", "x", "y").groupBy(by).applyInPandas(merge, schema)

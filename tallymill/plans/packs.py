@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallymill.functions import numbers, text
-from tallymill.operators import checks, matching, sequence
+from tallymill.operators import anchors, checks, matching, sequence
 from tallymill.operators.publish import json_rows, lost_pins
 from tallymill.operators.ranking import table_positions, top_k
 from tallymill.plans.facts import exact_sum, matches, player_match
@@ -209,7 +209,7 @@ def increasing_clock(spark: SparkSession, d: str) -> DataFrame:
  r AS (SELECT page, y, id, k, y AS anchor, 1::bigint AS row FROM o WHERE k = 1 UNION ALL SELECT o.page, o.y, o.id, o.k, CASE WHEN o.y - r.anchor > 2.0 THEN o.y ELSE r.anchor END, r.row + (o.y - r.anchor > 2.0)::bigint FROM r JOIN o ON o.page = r.page AND o.k = r.k + 1)
  SELECT page, y, id, row FROM r""")
 def visual_rows(spark: SparkSession, d: str) -> DataFrame:
-    return sequence.anchored_groups(_points(spark, d), ["page"], "y", "id", 2.0)
+    return anchors.anchored_groups(_points(spark, d), ["page"], "y", "id", 2.0)
 
 
 @query("joined_fragments", """SELECT conv_id, string_agg(CASE WHEN turn - prev > 1 OR (prev IS NOT NULL AND role = 'user') THEN ' ' ELSE '' END || left(role, 1), '' ORDER BY turn) AS joined FROM (SELECT *, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) GROUP BY 1""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymill.operators import spatial
+from tallymill.operators import clusters, spatial
 from tallymill.operators.ranking import quantile_thresholds
 from tallymill.plans.facts import matches
 from tallymill.plans.packs import _POINTS, _points
@@ -38,9 +38,18 @@ def values_above_labels(spark: SparkSession, d: str) -> DataFrame:
     return spatial.value_above(p.where("id % 2 = 0").withColumnRenamed("id", "label"), p.where("id % 2 = 1").withColumnRenamed("id", "value"), ["page"], 3.0, 80.0)
 
 
-@query("marker_clusters")
+@query(
+    "marker_clusters",
+    f"""WITH RECURSIVE {_POINTS}, s AS (SELECT 0 AS it, page, id, round(x * 1000)::bigint AS x, round(y * 1000)::bigint AS y, id AS cluster, id AS label FROM pts
+ UNION ALL (WITH c AS (SELECT page, cluster, any_value(label) AS label, sum(x)::double / count(*) AS x, sum(y)::double / count(*) AS y FROM s GROUP BY ALL),
+  m AS (SELECT a.page, a.cluster, a.label, min(b.label) AS least FROM c a JOIN c b ON a.page = b.page AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 2000.0 * 2000.0 GROUP BY ALL),
+  g AS (SELECT page, bool_and(label = least) AS settled, bool_and(cluster = label) AS apart FROM m GROUP BY page)
+  SELECT it + 1, s.page, s.id, s.x, s.y, CASE WHEN settled THEN m.label ELSE s.cluster END, CASE WHEN settled THEN m.label ELSE least END FROM s JOIN m ON m.page = s.page AND m.cluster = s.cluster JOIN g ON g.page = s.page WHERE NOT (settled AND apart)))
+ SELECT page, id, cluster FROM s QUALIFY it = max(it) OVER (PARTITION BY page)""",
+)
 def marker_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return spatial.clusters(_points(spark, d), "page", 2.0)
+    """Marks of a page that lie together, merged until their centres are apart."""
+    return clusters.merge_until_apart(_points(spark, d), "page", 2.0)
 
 
 @query("band_labels", """WITH e AS (SELECT l_suppkey % 50 AS team, sum(l_quantity)::bigint AS weight FROM lineitem GROUP BY l_suppkey % 50, l_suppkey, l_partkey),

@@ -10,7 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tallymill.functions import numbers, text
-from tallymill.operators import checks, matching, publish, ranking, sequence
+from tallymill.operators import anchors, checks, matching, publish, ranking, sequence
 from tallymill.plans.catalog import QUERIES
 from tallymill.sources import tables
 from tallymill.streaming import ingest
@@ -57,7 +57,7 @@ def test_periods_equal_the_recurrence(spark):
 
 def test_anchor_is_the_first_of_the_group(spark):
     df = spark.createDataFrame([(1, 0.0, 1), (1, 1.5, 2), (1, 3.0, 3), (1, 3.5, 4)], "p int, y double, i long")
-    assert [r["row"] for r in sequence.anchored_groups(df, ["p"], "y", "i", 2.0).orderBy("y").collect()] == [1, 1, 2, 2]
+    assert [r["row"] for r in anchors.anchored_groups(df, ["p"], "y", "i", 2.0).orderBy("y").collect()] == [1, 1, 2, 2]
 
 
 def test_nearest_prefers_exact_then_lower_id(spark):
