@@ -1,10 +1,11 @@
 """Groups that open at a row and hold what lies within a tolerance of that first row.
 
 Such a fold is sequential: where a group opens depends on where the one before did. To
-spread a page over tasks its sorted rows are cut into chunks. Each chunk says, for every
-row that could open its first new group, where its last group would then open and how
-many it would open; a few numbers for a chunk. These are followed from chunk to chunk
-within a page, and then each chunk is folded with what it is handed.
+spread a page over tasks the sorted rows are cut into chunks. For its first and its last
+page, which may go on in other chunks, a chunk says for every row that could open the first new
+group where its last group would then open and how many it would open; a few numbers. These
+are followed from chunk to chunk within a page, and then each chunk is folded with what it
+is handed.
 """
 
 from __future__ import annotations
@@ -77,14 +78,22 @@ def anchored_groups(df: DataFrame, by: list[str], value: str, item: str, toleran
     dealt = staging.keep(dealt.withColumn("n_", F.monotonically_increasing_id()).withColumn("chunk_", F.floor(F.col("n_") / chunk)), "dealt")
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.select(*by).schema)
 
+    def runs(pdf: pd.DataFrame) -> list[tuple[int, int]]:
+        """Where each page of a sorted chunk starts and ends."""
+        new = np.zeros(len(pdf), np.bool_)
+        for c in by:
+            v, empty = pdf[c].to_numpy(), pdf[c].isna().to_numpy()
+            new[1:] |= ((v[1:] != v[:-1]) & ~(empty[1:] & empty[:-1])).astype(np.bool_)
+        starts = [0, *np.flatnonzero(new).tolist()]
+        return list(zip(starts, [*starts[1:], len(pdf)]))
+
     def summary(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n_")
-        out = []
-        for key, page in pdf.groupby(by, sort=False, dropna=False):
-            found = _outcomes(page[value].to_numpy(), tolerance)
-            upto, anchor, opened = map(list, zip(*found))
-            out.append((*key, page["chunk_"].iloc[0], float(page[value].iloc[-1]), upto, anchor, opened))
-        return pd.DataFrame(out, columns=[*by, "chunk_", "end_", "upto_", "anchor_", "opened_"])
+        pdf = pdf.sort_values("n_", ignore_index=True)
+        found, y = runs(pdf), pdf[value].to_numpy()
+        ends = found if len(found) < 2 else [found[0], found[-1]]
+        said = [list(map(list, zip(*_outcomes(y[s:e], tolerance)))) for s, e in ends]
+        out = pdf.loc[[s for s, _ in ends], [*by, "chunk_"]].reset_index(drop=True)
+        return out.assign(**{c: [x[k] for x in said] for k, c in enumerate(("upto_", "anchor_", "opened_"))})
 
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
         anchor, opened, out = None, 0, []
@@ -99,16 +108,17 @@ def anchored_groups(df: DataFrame, by: list[str], value: str, item: str, toleran
         return pdf[[*by, "chunk_", "from_", "before_"]].astype({"from_": "float64"})
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n_")
-        found = [_fold(p[value].to_numpy(), tolerance, None if pd.isna(p["from_"].iloc[0]) else p["from_"].iloc[0], int(p["before_"].iloc[0])) for _, p in pdf.groupby(by, sort=False, dropna=False)]
+        pdf = pdf.sort_values("n_", ignore_index=True)
+        y, handed, before = pdf[value].to_numpy(), pdf["from_"].to_numpy(), pdf["before_"].fillna(0).to_numpy()
+        found = [_fold(y[s:e], tolerance, None if np.isnan(handed[s]) else handed[s], int(before[s])) for s, e in runs(pdf)]
         return pdf[[*by, value, item]].assign(**{name: np.concatenate(found)})
 
-    said = dealt.groupBy("chunk_").applyInPandas(summary, f"{keys}, chunk_ long, end_ double, upto_ array<double>, anchor_ array<double>, opened_ array<long>")
+    said = dealt.groupBy("chunk_").applyInPandas(summary, f"{keys}, chunk_ long, upto_ array<double>, anchor_ array<double>, opened_ array<long>")
     handed = staging.keep(said.groupBy(*by).applyInPandas(follow, f"{keys}, chunk_ long, from_ double, before_ long"), "handed")
     same = F.col("d.chunk_") == F.col("h.chunk_")
     for c in by:
         same &= F.col(f"d.{c}").eqNullSafe(F.col(f"h.{c}"))
-    met = dealt.alias("d").join(handed.alias("h"), same).select("d.*", "from_", "before_")
+    met = dealt.alias("d").join(handed.alias("h"), same, "left").select("d.*", "from_", "before_")
     kind = dealt.schema[item].dataType.simpleString()
     out = staging.keep(met.groupBy("chunk_").applyInPandas(number, f"{keys}, {value} double, {item} {kind}, {name} long"), "rows")
     staging.clear(out)
