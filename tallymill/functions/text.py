@@ -71,3 +71,27 @@ def ordinal_readings(c: Column) -> Column:
     none = F.array().cast("array<array<int>>")
     start = F.array(none, F.array(F.array().cast("array<int>")))
     return F.element_at(F.aggregate(F.sequence(F.lit(1), F.length(c)), start, grow), -1)
+
+
+class Readings:
+    """Table function ``readings(digits, row_count)``: each way to cut a word of at most eight
+    digits into numbers of one or two digits, none with a leading zero, none above the row
+    count; ``parts`` are ``(start, end, ordinal)``. Null or other text has none."""
+
+    MOST_DIGITS = 8
+
+    def eval(self, digits: str, row_count: int):
+        if not digits or row_count is None or len(digits) > self.MOST_DIGITS or not (digits.isascii() and digits.isdigit()):
+            return
+        done = [[] for _ in range(len(digits) + 1)]  # readings of the first k digits
+        done[0] = [[]]
+        for end in range(1, len(digits) + 1):
+            for start in (end - 2, end - 1):
+                if start >= 0 and digits[start] != "0" and int(digits[start:end]) <= row_count:
+                    done[end] += [[*r, (start, end, int(digits[start:end]))] for r in done[start]]
+        for n, parts in enumerate(done[-1], 1):
+            yield n, parts
+
+
+def register_readings(spark) -> None:
+    spark.udtf.register("readings", F.udtf(Readings, returnType="reading int, parts array<struct<start: int, end: int, ordinal: int>>"))

@@ -27,6 +27,23 @@ def periods(df: DataFrame, by: list[str], order: list[str], minute: str, bounds:
     return df.withColumn(name, F.greatest(F.lit(0), F.col("c_") + rest).cast("bigint")).drop("b_", "back_", "c_")
 
 
+def previous(df: DataFrame, by: list[str], order: list[str], value: str, bucket: Column, name: str = "previous") -> DataFrame:
+    """The value of the row before within ``by``, as a lag would give it, with groups dealt
+    to tasks by a ``bucket`` that grows with the order: rows look back within their bucket,
+    and the first of each takes the last value of the nearest bucket before, from a
+    table of one row a bucket."""
+    celled = df.withColumn("bucket_", bucket)
+    last = celled.groupBy(*by, "bucket_").agg(F.max_by(F.struct(value), F.struct(*order)).alias("last_"))
+    before = last.select(*by, "bucket_", F.lag("last_").over(Window.partitionBy(*by).orderBy("bucket_")).alias("before_"))
+    w = Window.partitionBy(*by, "bucket_").orderBy(*order)
+    own = celled.withColumn("lag_", F.lag(F.struct(value)).over(w))
+    same = F.col("o.bucket_").eqNullSafe(F.col("b.bucket_"))
+    for c in by:
+        same &= F.col(f"o.{c}").eqNullSafe(F.col(f"b.{c}"))
+    met = own.alias("o").join(before.alias("b"), same, "left").select("o.*", "before_")
+    return met.withColumn(name, F.coalesce("lag_", "before_")[value]).drop("bucket_", "lag_", "before_")
+
+
 def stamp(minute: Column, bounds: tuple[int, ...] = (45, 90, 105, 120), period: Column | None = None) -> tuple[Column, Column]:
     """``(minute, stoppage)``: minutes beyond a period's bound become stoppage."""
     at = F.element_at(F.array(*map(F.lit, bounds)), (period if period is not None else F.lit(0)) + 1)

@@ -145,7 +145,8 @@ _EDGES = "e AS (SELECT prev AS src, user_id AS dst, count(*) AS weight FROM (SEL
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select(F.col("user_id").alias("dst"), F.lag("user_id").over(Window.partitionBy("event_type").orderBy("ts", "event_id")).alias("src"))
+    e = table(spark, d, "events").select("event_type", "ts", "event_id", F.col("user_id").alias("dst"))
+    e = sequence.previous(e, ["event_type"], ["ts", "event_id"], "dst", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600), "src")
     return e.where("src is not null and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 

@@ -11,6 +11,7 @@ from tallymill.functions import text
 from tallymill.operators import commit, enrich, pins
 from tallymill.plans.registry import query
 from tallymill.plans.reports import _LINES, _lines
+from tallymill.sources import lookup
 from tallymill.sources.staging import shared_folder
 from tallymill.sources.tables import table
 
@@ -75,3 +76,12 @@ def pinned_slugs(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("key"), slug.alias("slug"), F.col("p_partkey").alias("nr"))
     empty = parts.select("kind", "key", "slug", F.col("slug").alias("id")).where("false")
     return pins.merge_pins(pins.merge_pins(empty, parts.where("key % 3 = 0"), "nr"), parts, "nr")
+
+
+@query("artifact_by_id", "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment FROM customer WHERE c_custkey = (SELECT max(c_custkey) FROM customer)")
+def artifact_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """Customers laid out by id, and the last one read back from its bucket alone."""
+    folder, buckets = f"{shared_folder(spark)}/laid-out/{uuid.uuid4().hex}", 16
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    lookup.lay_out(customers, folder, "id", "v1", buckets)
+    return lookup.read_one(spark, folder, "id", customers.agg(F.max("id")).first()[0], "v1", buckets)
