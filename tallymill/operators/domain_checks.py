@@ -103,8 +103,9 @@ def figure_checks(figures: DataFrame, by: list[str], checks: tuple[Check, ...] =
     value)``; a figure that is stated twice with two values fails all that need it."""
     names = sorted({n for c in checks for n in c.needs})
     at = {n: k for k, n in enumerate(names)}
-    is_ = lambda n: F.when(F.col("figure") == n, F.col("value").cast("double"))
-    wide = figures.groupBy(*by).agg(*(f(is_(n)).alias(f"{p}{k}") for n, k in at.items() for p, f in (("f", F.min), ("g", F.max))))
+    # a row for each figure first, then each figure to its place: the work does not grow with their number
+    value = F.col("value").cast("double")
+    wide = figures.groupBy(*by).pivot("figure", names).agg(F.min(value).alias("f"), F.max(value).alias("g")).toDF(*by, *(f"{p}{k}" for k in at.values() for p in "fg"))
     # a figure of two values is as far off as can be
     wide = wide.select(*by, *(F.when(F.col(f"f{k}") == F.col(f"g{k}"), F.col(f"f{k}")).when(F.col(f"f{k}").isNotNull(), F.lit(float("nan"))).alias(f"f{k}") for k in at.values()))
     f = lambda n: F.col(f"f{at[n]}")
