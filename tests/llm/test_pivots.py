@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from tallymill.llm import pivots
 
@@ -41,18 +42,81 @@ def test_equals_brute_force(spark):
         assert found == total and got == want
 
 
-def test_recall_on_the_edge():
-    """Recall of retrieval for pairs at the threshold itself, in 64 dimensions, with few and with most pivots."""
+def drawn(rng, n, dim, mean):
+    """Unit vectors whose mean cosine is ``mean``."""
+    way = np.zeros(dim)
+    way[0] = 1
+    return pivots.unit(math.sqrt(mean) * way + math.sqrt(1 - mean) * pivots.unit(rng.normal(size=(n, dim))))
+
+
+@pytest.mark.parametrize("dim", [2, 8, 64, 384])
+@pytest.mark.parametrize("mean", [0.0, 0.5, 0.8])
+def test_recall_on_the_edge(dim, mean):
+    """Recall of retrieval for pairs at the threshold itself, in random directions and towards
+    other vectors, that the setting has not seen; where no setting does, all pairs are compared."""
     rng = np.random.default_rng(0)
-    x = pivots.unit(rng.normal(size=(4000, 64)))
-    noise = rng.normal(size=x.shape)
-    noise -= (noise * x).sum(1, keepdims=True) * x
-    y = 0.9 * x + math.sqrt(1 - 0.9**2) * pivots.unit(noise)
-    for count in (64, 256, pivots.MAX_PIVOTS):
-        p = pivots.choose_pivots(x[:2000], count)
-        a, b = pivots.nearest(x, p), pivots.nearest(y, p)
-        shared = (a[:, :, None] == b[:, None, :]).sum(axis=(1, 2))
-        assert (shared >= 2).mean() >= 0.92, count
+    x = drawn(rng, 5000, dim, mean)
+    new = x[3500:]
+    for classes, count in ((5000, 64), (5_000_000, 256), (500_000_000, 1023)):
+        own = pivots.tuned(x[:3500], classes, most=count)
+        if own is None:
+            continue
+        assert own.share <= pivots.MOST_SHARE
+        for way in (rng.normal(size=new.shape), drawn(rng, len(new), dim, mean)):
+            aside = way - (way * new).sum(1, keepdims=True) * new
+            other = 0.9 * new + math.sqrt(1 - 0.9**2) * pivots.unit(aside)
+            a, b = (pivots.nearest(pivots.seen_from(v, own.mean), own.pivots, own.depth) for v in (new, other))
+            front, depth = pivots.meeting_places(a, b)
+            assert ((front <= own.front) & (depth <= own.depth)).mean() >= 0.94, (classes, own)
+
+
+def test_isotropic_and_centred_data_have_an_index_without_large_lists():
+    rng = np.random.default_rng(1)
+    for dim, mean in ((64, 0.0), (64, 0.5), (384, 0.0), (384, 0.5)):
+        x = drawn(rng, 4000, dim, mean)
+        own = pivots.tuned(x, 5_000_000)
+        keys = pivots.list_keys(pivots.nearest(pivots.seen_from(x, own.mean), own.pivots, own.depth), own.front)
+        assert np.unique(keys, return_counts=True)[1].max() <= 0.1 * len(x)
+
+
+def test_a_pair_counts_on_one_list_only():
+    rng = np.random.default_rng(2)
+    x = drawn(rng, 300, 8, 0.0)
+    x = pivots.unit(np.concatenate((x, x + 0.05 * rng.normal(size=x.shape))))
+    near = pivots.nearest(x, drawn(rng, 40, 8, 0.0), 6)
+    keys, counts = pivots.list_keys(near, 3), {}
+    for key in np.unique(keys):
+        at = np.flatnonzero((keys == key).any(axis=1))
+        for i, j in zip(*pivots.links(x[at], near[at], 3, np.zeros(len(at), int), int(key), 0.9)):
+            pair = tuple(sorted((at[i], at[j])))
+            counts[pair] = counts.get(pair, 0) + 1
+    meet = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if x[i] @ x[j] >= 0.9 and set(keys[i]) & set(keys[j])}
+    assert set(counts) == meet and set(counts.values()) == {1}
+
+
+@pytest.mark.parametrize("dim,mean", [(64, 0.0), (64, 0.5), (2, 0.0), (8, 0.5)])
+def test_thousands_of_links_against_brute_force(spark, dim, mean):
+    """Groups with cosines about the threshold: at least 0.95 of all links, none too many; all with ``exact``."""
+    rng = np.random.default_rng(3)
+    x = drawn(rng, 1500, dim, mean)
+    part = np.float32(x[rng.integers(0, 150, 900)] + 0.33 * pivots.unit(rng.normal(size=(900, dim))))
+    x = np.concatenate((np.float32(x), part))
+    y = pivots.unit(x)
+    want = (y @ y.T >= 0.9).sum(axis=1) - 1
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = np.array([r.n_links for r in sorted(pivots.near_duplicates(df).collect())])
+    assert want.sum() > 2000 and (got <= want).all() and got.sum() >= 0.95 * want.sum()
+    whole = np.array([r.n_links for r in sorted(pivots.near_duplicates(df, exact=True).collect())])
+    assert (whole == want).all()
+
+
+def test_many_lengths(spark):
+    """Vectors meet those of their own length; lengths of few vectors have no index."""
+    rng = np.random.default_rng(4)
+    rows = [(100 * d + k, (np.ones(d) + 1e-3 * rng.normal(size=d)).tolist()) for d in range(2, 90) for k in range(2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = pivots.near_duplicates(df).collect()
+    assert len(got) == len(rows) and all(r.n_links == 1 and r.component_id == r.vec_id // 100 * 100 for r in got)
 
 
 def test_empty_table(spark):
