@@ -43,6 +43,22 @@ def match_span(text: Column, needle: str) -> Column:
     return F.when(found.isNotNull(), F.struct(start.cast("bigint").alias("start"), (start + F.char_length(found)).cast("bigint").alias("end")))
 
 
+def term_span(text: Column, term: str) -> Column:
+    """First place of a term that begins a word, as ``(start, end)`` with the end at the end
+    of its last word, ignoring case; where the term is absent, its words may each be in the
+    plural and any space may part them. Null where neither is found."""
+    def first(pattern: str) -> Column:
+        whole = r"(?iu)(?<![\p{L}\p{N}])(?:" + pattern + r")[\p{L}\p{N}]*"
+        found = F.regexp_substr(text, F.lit(whole))
+        start = F.char_length(F.element_at(F.split(text, whole, 2), 1))
+        return F.when(found.isNotNull(), F.struct(start.cast("bigint").alias("start"), (start + F.char_length(found)).cast("bigint").alias("end")))
+
+    words = [r"\Q" + w + r"\E" for w in term.split()]
+    if not words:
+        return F.lit(None).cast("struct<start: bigint, end: bigint>")
+    return F.coalesce(first(r"\Q" + term.strip() + r"\E"), first(r"\s+".join(w + "(?:e?s)?" for w in words)))
+
+
 def shootout(c: Column) -> tuple[Column, Column, Column]:
     """Winner and score of ``(X win a-b on Penalties)``."""
     p = r"\((.+?) win (\d+)-(\d+) on [Pp]enalties\)"

@@ -242,26 +242,13 @@ def knockout_scores(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(
-    "results_by_stage",
-    f"""WITH {GAMES} SELECT stage, match_id, home, away, home_goals, away_goals, row_number() OVER (ORDER BY stage, match_id) AS position FROM games WHERE stage >= 4""",
-)
-def results_by_stage(spark: SparkSession, d: str) -> DataFrame:
-    """Late-stage results by stage ordinal, then match number: positions within a
-    stage, plus the sizes of the stages before, so no task holds all rows."""
-    late = matches(spark, d).where("stage >= 4")
-    sizes = late.groupBy("stage").agg(F.count("*").alias("n")).groupBy().agg(F.collect_list(F.struct("stage", "n")).alias("sizes"))
-    own = late.withColumn("k", F.row_number().over(Window.partitionBy("stage").orderBy("match_id")))
-    before = F.aggregate(F.filter("sizes", lambda x: x["stage"] < F.col("stage")), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
-    return own.crossJoin(F.broadcast(sizes)).select("stage", "match_id", "home", "away", "home_goals", "away_goals", (F.col("k") + before).alias("position"))
+_RESULTS_SQL = f"""WITH {GAMES} SELECT stage, match_id, home, away, home_goals, away_goals, row_number() OVER (ORDER BY stage, match_id) AS position FROM games WHERE stage > 1"""
 
 
-@query(
-    "whole_results_by_stage",
-    f"""WITH {GAMES} SELECT stage, match_id, home, away, home_goals, away_goals, row_number() OVER (ORDER BY stage, match_id) AS position FROM games WHERE stage > 1""",
-)
+@query("results_by_stage", _RESULTS_SQL)
+@query("whole_results_by_stage", _RESULTS_SQL)
 def whole_results_by_stage(spark: SparkSession, d: str) -> DataFrame:
-    """All knockout results by stage ordinal, then match number; ``results_by_stage`` has the late stages that its SQL asks for."""
+    """All knockout results by stage ordinal, then match number."""
     knockouts = matches(spark, d).where("stage > 1").select("stage", "match_id", "home", "away", "home_goals", "away_goals")
     return table_positions(knockouts, {"position": F.col("key_")}, "stage", "match_id")
 

@@ -63,19 +63,17 @@ def nearest_event(spark: SparkSession, d: str) -> DataFrame:
     return matching.nearest(o, e, ["g"], "at", "at", "match_id", "event_id").select("match_id", "event_id", "distance")
 
 
-@query("range_panels", "WITH p AS (SELECT p_partkey % 97 AS panel, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part GROUP BY 1) SELECT o_orderkey AS match_id, panel::bigint AS panel FROM orders JOIN p ON o_totalprice / 100 >= lo AND o_totalprice / 100 < hi WHERE o_orderkey % 10 = 3")
-def range_panels(spark: SparkSession, d: str) -> DataFrame:
-    """A tenth of ``whole_range_panels``: the part that its SQL asks for."""
-    return _panels(spark, d, table(spark, d, "orders").where("o_orderkey % 10 = 3"))
-
-
 def _panels(spark: SparkSession, d: str, orders: DataFrame) -> DataFrame:
     p = table(spark, d, "part").groupBy((F.col("p_partkey") % 97).alias("panel")).agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"))
     o = orders.select(F.col("o_orderkey").alias("match_id"), (F.col("o_totalprice") / 100).alias("x"))
     return matching.in_interval(o, "x", p, "lo", "hi", 100.0).select("match_id", "panel")
 
 
-@query("whole_range_panels", "WITH p AS (SELECT p_partkey % 97 AS panel, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part GROUP BY 1) SELECT o_orderkey AS match_id, panel::bigint AS panel FROM orders JOIN p ON o_totalprice / 100 >= lo AND o_totalprice / 100 < hi")
+_PANELS_SQL = "WITH p AS (SELECT p_partkey % 97 AS panel, min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part GROUP BY 1) SELECT o_orderkey AS match_id, panel::bigint AS panel FROM orders JOIN p ON o_totalprice / 100 >= lo AND o_totalprice / 100 < hi"
+
+
+@query("range_panels", _PANELS_SQL)
+@query("whole_range_panels", _PANELS_SQL)
 def whole_range_panels(spark: SparkSession, d: str) -> DataFrame:
     """Titles assigned to the panels whose range holds their centre."""
     return _panels(spark, d, table(spark, d, "orders"))
@@ -88,18 +86,16 @@ def _points(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 8).alias("page"), (F.col("embedding")[0].cast("double") * 100).alias("x"), (F.col("embedding")[1].cast("double") * 100).alias("y"))
 
 
-@query("close_labels", f"WITH {_POINTS} SELECT a.id AS marker, b.id AS label, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 5.625 AS near FROM pts a JOIN pts b ON a.page = b.page AND a.id % 2 = 0 AND b.id % 2 = 0 AND a.id < b.id WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 5.625")
-def close_labels(spark: SparkSession, d: str) -> DataFrame:
-    """The even half of ``whole_close_labels``: the part that its SQL asks for."""
-    return _close(_points(spark, d).where("id % 2 = 0"))
-
-
 def _close(p: DataFrame) -> DataFrame:
     a, b = p.select("page", F.col("id").alias("marker"), F.col("x").alias("ax"), F.col("y").alias("ay")), p.select("page", F.col("id").alias("label"), F.col("x").alias("bx"), F.col("y").alias("by_"))
     return matching.close_pairs(a, b, ["page"], 5.625).where("marker < label").select("marker", "label", F.lit(True).alias("near"))
 
 
-@query("whole_close_labels", f"WITH {_POINTS} SELECT a.id AS marker, b.id AS label, true AS near FROM pts a JOIN pts b ON a.page = b.page AND a.id < b.id WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 5.625")
+_CLOSE_SQL = f"WITH {_POINTS} SELECT a.id AS marker, b.id AS label, true AS near FROM pts a JOIN pts b ON a.page = b.page AND a.id < b.id WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 5.625"
+
+
+@query("close_labels", _CLOSE_SQL)
+@query("whole_close_labels", _CLOSE_SQL)
 def whole_close_labels(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of points of a page within the distance."""
     return _close(_points(spark, d))
@@ -260,19 +256,15 @@ def top5_zip(spark: SparkSession, d: str) -> DataFrame:
 # --- sorts and limits ------------------------------------------------------------------
 
 
-@query("stable_sort_nulls_last", "WITH t AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 > 0 THEN c_mktsegment END AS s FROM customer) SELECT id, s, row_number() OVER (ORDER BY s ASC NULLS LAST, id) AS up, row_number() OVER (ORDER BY s DESC NULLS LAST, id) AS down FROM t WHERE id <= 300")
-def stable_sort(spark: SparkSession, d: str) -> DataFrame:
-    """Nulls last in both directions, ties in input order; the first ids, which its SQL asks for."""
-    t = _segments(spark, d).where("id <= 300")
-    at = lambda c: F.row_number().over(Window.orderBy(c, "id")).cast("bigint")
-    return t.withColumn("up", at(F.col("s").asc_nulls_last())).withColumn("down", at(F.col("s").desc_nulls_last()))
-
-
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 7 > 0, F.col("c_mktsegment")).alias("s"))
 
 
-@query("whole_stable_sort", "WITH t AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 > 0 THEN c_mktsegment END AS s FROM customer) SELECT id, s, row_number() OVER (ORDER BY s ASC NULLS LAST, id) AS up, row_number() OVER (ORDER BY s DESC NULLS LAST, id) AS down FROM t")
+_SORT_SQL = "WITH t AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 7 > 0 THEN c_mktsegment END AS s FROM customer) SELECT id, s, row_number() OVER (ORDER BY s ASC NULLS LAST, id) AS up, row_number() OVER (ORDER BY s DESC NULLS LAST, id) AS down FROM t"
+
+
+@query("stable_sort_nulls_last", _SORT_SQL)
+@query("whole_stable_sort", _SORT_SQL)
 def whole_stable_sort(spark: SparkSession, d: str) -> DataFrame:
     """Nulls last in both directions, ties in input order, over the whole table."""
     return table_positions(_segments(spark, d), {"up": F.col("key_").asc_nulls_last(), "down": F.col("key_").desc_nulls_last()}, "s", "id")
@@ -308,15 +300,12 @@ def duplicates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n")).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
-@query("multiset_difference", "SELECT n FROM (SELECT l_linenumber AS n FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey < 2000 EXCEPT ALL SELECT l_linenumber FROM lineitem WHERE l_returnflag = 'A' AND l_orderkey < 2000)")
-def multiset_difference(spark: SparkSession, d: str) -> DataFrame:
-    """One direction over the first ids, which its SQL asks for."""
-    side = lambda f: table(spark, d, "lineitem").where(f"l_returnflag = '{f}' and l_orderkey < 2000").select(F.col("l_linenumber").alias("n"))
-    return side("R").exceptAll(side("A"))
+_DIFFERENCE_SQL = """WITH r AS (SELECT l_linenumber AS n FROM lineitem WHERE l_returnflag = 'R'), a AS (SELECT l_linenumber AS n FROM lineitem WHERE l_returnflag = 'A')
+ SELECT n, 'R' AS side FROM (SELECT n FROM r EXCEPT ALL SELECT n FROM a) UNION ALL SELECT n, 'A' FROM (SELECT n FROM a EXCEPT ALL SELECT n FROM r)"""
 
 
-@query("whole_multiset_difference", """WITH r AS (SELECT l_linenumber AS n FROM lineitem WHERE l_returnflag = 'R'), a AS (SELECT l_linenumber AS n FROM lineitem WHERE l_returnflag = 'A')
- SELECT n, 'R' AS side FROM (SELECT n FROM r EXCEPT ALL SELECT n FROM a) UNION ALL SELECT n, 'A' FROM (SELECT n FROM a EXCEPT ALL SELECT n FROM r)""")
+@query("multiset_difference", _DIFFERENCE_SQL)
+@query("whole_multiset_difference", _DIFFERENCE_SQL)
 def whole_multiset_difference(spark: SparkSession, d: str) -> DataFrame:
     """What either multiset has beyond the other, with its side; none where they are equal."""
     side = lambda f: table(spark, d, "lineitem").where(f"l_returnflag = '{f}'").select(F.col("l_linenumber").alias("n"))
