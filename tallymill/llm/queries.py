@@ -62,7 +62,8 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find_pii(_table(spark, sf_dir, "documents"), pii.train(spark)).drop("redactions")
+    docs = _table(spark, sf_dir, "documents")
+    return pii.find_pii(docs, pii.train(spark, docs=docs)).drop("redactions")
 
 
 def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
