@@ -38,6 +38,28 @@ def axis_ticks(top: Column, parts: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.ceil(F.round(top / step, 9)).cast("int")), lambda k: k * step)
 
 
+def count_step(top: Column, parts: int) -> Column:
+    """The step of an axis of counts: whole, at least one."""
+    return F.greatest(F.lit(1.0), F.round(nice_step(F.greatest(top.cast("double"), F.lit(1.0)), parts))).cast("bigint")
+
+
+def count_axis_top(top: Column, parts: int) -> Column:
+    """The first step at or above the top; never zero."""
+    step = count_step(top, parts)
+    return F.greatest(step, F.ceil(top / step) * step)
+
+
+def peak_ticks(peak: Column, parts: int = 2) -> Column:
+    """Ticks of a whole peak to both sides of zero. The peak has a tick: beyond the last
+    step where it is half a step clear of it, else in its place."""
+    high = F.greatest(peak.cast("bigint"), F.lit(1).cast("bigint"))
+    step = count_step(high, parts)
+    steps = F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest(F.floor(high / step), F.lit(1))), lambda k: k * step)
+    steps = F.filter(steps, lambda t: (t <= high) & ((t == high) | ((high - t) * 2 >= step)))
+    up = F.array_union(steps, F.array(high))
+    return F.concat(F.reverse(F.transform(up, lambda t: -t)), F.array(F.lit(0).cast("bigint")), up)
+
+
 def leader(a: Column, b: Column, direction: Column | str = "higher") -> Column:
     """home, away or tie; 'lower' swaps the sides, 'none' is a tie, null on either side is a tie."""
     way = F.lit(direction) if isinstance(direction, str) else direction
