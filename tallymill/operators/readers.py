@@ -9,41 +9,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymill.operators import gates, sequence, spatial
-from tallymill.operators.anchors import anchored_groups
 from tallymill.operators.matching import must
 
 # --- tables ------------------------------------------------------------------------------
 
 
 def read_table(words: DataFrame, report: str, page: str, header: tuple[str, ...], columns: tuple[str, ...], tolerance: float = 3.0, slack: float = 1.0) -> DataFrame:
+    """``read_pages`` of ``words(report, page, word, x, y, text)``, a row for each word."""
+    placed = words.where(F.col(report).isNotNull() & F.col(page).isNotNull() & F.col("word").isNotNull())
+    # the words of one printed page
+    pages = placed.groupBy(report, page).agg(F.collect_list(F.struct("y", "x", "word", "text")).alias("words"))
+    return read_pages(pages, report, page, header, columns, tolerance, slack)
+
+
+def read_pages(pages: DataFrame, report: str, page: str, header: tuple[str, ...], columns: tuple[str, ...], tolerance: float = 3.0, slack: float = 1.0) -> DataFrame:
     """``(report, page, row, ordinal, cells)`` of the rows below each page's header.
 
-    ``words(report, page, word, x, y, text)`` stand on visual rows (``anchored_groups``). Exactly
+    ``pages(report, page, words)`` hold their words as an array of ``(y, x, word, text)``, so no word
+    is shuffled or staged. Words stand on visual rows: from the top, a row opens where a word is lower
+    than the first of the row before by more than the tolerance. Exactly
     one row of a page holds all ``header`` words; on it each of ``columns`` stands once,
     from left to right, and opens a column. A row counts where its leftmost word is a number.
     ``cells`` are arrays of words, one for what is left of the first of ``columns`` and one
     for each of them. ``ordinal`` counts a report's rows over its pages.
     """
     at = [report, page]
-    rows = anchored_groups(words, at, "y", "word", tolerance).select(*at, "word", "row")
-    placed = words.join(rows, [*at, "word"])
-    said = lambda t: F.col("text") == t
-    line = placed.groupBy(*at, "row").agg(
-        *(F.max(said(t)).alias(f"h{k}") for k, t in enumerate(header)), *(F.count_if(said(t)).alias(f"n{k}") for k, t in enumerate(columns)), *(F.min(F.when(said(t), F.col("x"))).alias(f"x{k}") for k, t in enumerate(columns))
-    )
-    is_head = F.lit(True)
-    for k in range(len(header)):
-        is_head &= F.col(f"h{k}")
-    each = lambda c: F.array(*(F.col(f"{c}{k}") for k in range(len(columns))))
-    heads = line.groupBy(*at).agg(F.count_if(is_head).alias("heads"), F.max(F.when(is_head, F.struct("row", each("n").alias("n"), each("x").alias("x")))).alias("h"))
-    once = F.forall("h.n", lambda n: n == 1) & F.coalesce(F.col("h.x") == F.sort_array("h.x"), F.lit(False))
-    row = must(F.col("heads") == 1, F.col("h.row"), "a page of a table needs exactly one header row")
-    heads = heads.select(*at, row.alias("head_"), must(once, F.col("h.x"), "the header's words do not cut the columns").alias("starts_"))
-    body = placed.join(heads, at).where(F.col("row") > F.col("head_")).withColumn("column_", F.size(F.filter("starts_", lambda s: F.col("x") >= s - slack)))
-    cell = lambda k: F.transform(F.sort_array(F.collect_list(F.when(F.col("column_") == k, F.struct("x", "word", "text")))), lambda w: w["text"])
-    # the words of one printed row
-    wide = body.groupBy(*at, "row").agg(F.min(F.struct("x", "word", "text")).alias("first_"), F.array(*(cell(k) for k in range(len(columns) + 1))).alias("cells"))
-    wide = wide.where(F.col("first_.text").rlike(r"\A[0-9]+\z"))
+    said = lambda t: lambda w: w["text"] == t
+    found = pages.select(*at, F.filter("words", lambda w: w["y"].isNotNull()).alias("words_")).where("size(words_) > 0")
+    found = found.withColumn("heights_", F.array_sort(F.array_distinct(F.transform("words_", lambda w: w["y"].cast("double")))))
+    opens = lambda s, y: F.coalesce(y - F.get(s, F.size(s) - 1) > tolerance, F.lit(True))
+    found = found.withColumn("opens_", F.aggregate("heights_", F.array().cast("array<double>"), lambda s, y: F.when(opens(s, y), F.concat(s, F.array(y))).otherwise(s)))
+    found = found.select(*at, F.transform("opens_", lambda y: F.filter("words_", lambda w: (w["y"] >= y) & (w["y"] - y <= tolerance))).alias("rows_"))
+
+    def heads(row: Column) -> Column:
+        is_head = F.lit(True)
+        for t in header:
+            is_head &= F.coalesce(F.exists(row, said(t)), F.lit(False))
+        return is_head
+
+    found = found.withColumn("heads_", F.transform("rows_", heads))
+    head = must(F.size(F.filter("heads_", lambda h: h)) == 1, F.array_position("heads_", True), "a page of a table needs exactly one header row")
+    found = found.select(*at, "rows_", head.cast("int").alias("head_"))
+    named = [F.filter(F.get("rows_", F.col("head_") - 1), said(t)) for t in columns]
+    found = found.withColumns({"n_": F.array(*map(F.size, named)), "x_": F.array(*(F.array_min(F.transform(w, lambda v: v["x"])) for w in named))})
+    once = F.forall("n_", lambda n: n == 1) & F.coalesce(F.col("x_") == F.sort_array("x_"), F.lit(False))
+    found = found.select(*at, "rows_", "head_", must(once, F.col("x_"), "the header's words do not cut the columns").alias("starts_"))
+    column = lambda w: F.size(F.filter("starts_", lambda s: w["x"] >= s - slack))
+    body = F.transform(F.slice("rows_", F.col("head_") + 1, F.size("rows_")), lambda row, i: F.struct((F.col("head_") + 1 + i).cast("bigint").alias("row"), F.sort_array(F.transform(row, lambda w: F.struct(column(w).alias("column"), w["x"].alias("x"), w["word"].alias("word"), w["text"].alias("text")))).alias("words")))
+    leftmost = lambda row: F.array_min(F.transform(row["words"], lambda w: F.struct(w["x"].alias("x"), w["word"].alias("word"), w["text"].alias("text"))))["text"]
+    rows = found.select(*at, "starts_", F.explode(body).alias("r")).where(leftmost(F.col("r")).rlike(r"\A[0-9]+\z"))
+    cell = lambda k: F.transform(F.filter("r.words", lambda w: w["column"] == k), lambda w: w["text"])
+    wide = rows.select(*at, F.col("r.row").alias("row"), F.array(*(cell(k) for k in range(len(columns) + 1))).alias("cells"))
     return wide.select(*at, "row", F.row_number().over(Window.partitionBy(report).orderBy(page, "row")).cast("bigint").alias("ordinal"), "cells")
 
 
@@ -55,8 +71,9 @@ def meaning(words: Column, labels: dict[str, str], what: str) -> Column:
 
 
 def attempts(words: DataFrame, report: str, page: str, outcome: dict[str, str], body: dict[str, str], delivery: dict[str, str]) -> DataFrame:
-    """``(report, page, ordinal, minute, shirt, player, outcome, body_part, delivery)`` of printed attempts."""
-    read = read_table(words, report, page, ("Time", "Player", "Outcome"), ("Player", "Outcome", "Body", "Delivery"))
+    """``(report, page, ordinal, minute, shirt, player, outcome, body_part, delivery)`` of printed attempts,
+    given as words, or as pages with an array of ``words``."""
+    read = (read_pages if "words" in words.columns else read_table)(words, report, page, ("Time", "Player", "Outcome"), ("Player", "Outcome", "Body", "Delivery"))
     time, player = F.col("cells")[0], F.col("cells")[1]
     named = (F.size(player) >= 2) & player[0].rlike(r"\A[0-9]+\z")
     return read.select(

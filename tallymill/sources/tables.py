@@ -12,6 +12,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def clustered(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """Rows dealt by ``key`` to tasks of about ``rows`` rows, however many there are: the number
+    of tasks grows with the table, and groupings, windows and joins by the key (and more) need no further shuffle."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(n, key)
+
+
 def read_records(spark: SparkSession, path: str, schema: T.StructType, required: list[str]) -> DataFrame:
     """JSON records under a declared schema. A record that does not parse or
     lacks a required field fails the read with its text, instead of becoming nulls."""
