@@ -95,13 +95,15 @@ def read_map(marks: DataFrame, frames: DataFrame, by: list[str], key: DataFrame,
     under a strong one at the same place goes. Small overshoots of the lines are moved
     onto them, larger ones fail. ``position`` goes by the page's y, then x.
     """
-    sized = spatial.largest(frames, by, (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), "frame", *area).select(*by, "frame")
-    pitch = frames.join(sized, [*by, "frame"]).select(*by, *(F.col(c).alias(f"{c}_") for c in ("x0", "y0", "x1", "y1")))
+    sides = ("x0", "y0", "x1", "y1")
+    sized = frames.withColumn("area_", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).where((F.col("area_") > area[0]) & (F.col("area_") < area[1]))
+    pitch = sized.groupBy(*by).agg(F.max(F.struct("area_", (-F.col("frame")).alias("last_"), *sides)).alias("m_")).select(*by, *(F.col(f"m_.{c}").alias(f"{c}_") for c in sides))
     fit = (F.col("kind") == "curve") & F.col("filled") & F.col("w").between(*size) & F.col("h").between(*size)
     held = F.col("x").between(F.col("x0_") - margin, F.col("x1_") + margin) & F.col("y").between(F.col("y0_") - margin, F.col("y1_") + margin)
     found = marks.where(fit).join(pitch, by).where(held).withColumn("line_", F.round("y", 1))
-    legend = found.groupBy(*by, "line_").agg(F.count_distinct("colour").alias("n_")).where("n_ >= 3").select(*by, "line_")
-    found = spatial.keyed(found.join(legend, [*by, "line_"], "left_anti"), key, "colour", "outcome")
+    # windows by map and more, which marks dealt by map meet without a shuffle
+    colours = F.size(F.collect_set("colour").over(Window.partitionBy(*by, "line_")))
+    found = spatial.keyed(found.withColumn("n_", colours).where("n_ < 3").drop("n_"), key, "colour", "outcome")
     if collapse:
         found = sequence.collapse_pairs(found, [*by, "x", "y"], "outcome", *collapse)
     onto = lambda c: gates.within(F.round(c, 2), 0.0, 100.0, 0.5, "a marker lies outside the pitch")

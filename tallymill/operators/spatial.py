@@ -20,8 +20,9 @@ def inside(points: DataFrame, x: str, y: str, box: tuple[float, float, float, fl
 
 
 def keyed(marks: DataFrame, key: DataFrame, on: str, value: str) -> DataFrame:
-    """Marks with the meaning of their colour; a colour without one fails the query."""
-    met = marks.join(key.withColumn("hit_", F.lit(True)), on, "left")
+    """Marks with the meaning of their colour; a colour without one fails the query. The key is a
+    legend of a few rows and goes to the marks: dealt by colour they would lie in as many tasks as it has colours."""
+    met = marks.join(F.broadcast(key.withColumn("hit_", F.lit(True))), on, "left")
     return met.withColumn(value, F.when(F.col("hit_"), F.col(value)).otherwise(F.raise_error(F.concat(F.lit("colour without meaning: "), F.col(on).cast("string"))))).drop("hit_")
 
 

@@ -19,3 +19,10 @@ def test_printed_words_are_neither_staged_nor_shuffled(spark, monkeypatch):
     monkeypatch.setattr(Staging, "keep", lambda *_: pytest.fail("words are staged"))
     df = QUERIES["printed_attempts"](spark, FOLDER)
     assert [k.split("#")[0] for k in shuffled(df)] == ["k"] and df.count() > 0
+
+
+def test_marks_of_a_map_are_shuffled_by_map_alone(spark):
+    """By colour they would lie in as many tasks as there are colours."""
+    for name in ("cross_map", "enriched_records"):
+        assert {k.split("#")[0] for k in shuffled(QUERIES[name](spark, FOLDER))} == {"k"}
+    assert not any(k.startswith("l_returnflag#") and "," not in k for k in shuffled(QUERIES["keyed_markers"](spark, FOLDER)))
