@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallymill.operators import domain_checks
 from tallymill.plans.registry import query
-from tallymill.sources.tables import table
+from tallymill.sources.tables import clustered, table
 
 #: The figures of a report that holds.
 GOOD = {
@@ -20,6 +20,8 @@ GOOD = {
     "offers.low": 20, "offers.mid": 30, "offers.high": 10, "offers": 60, "offers.inside": 35, "offers.outside": 25, "offers.table": 60, "offers.players": 60, "received": 25, "received.table": 25, "received.players": 25, "offers.rows": 11, "offers.rows-right": 11,
     "top.passes": 60, "network.total": 300, "top.percent": 20,
 }
+#: Reports of a task; each has about a hundred figures, items and stamps.
+REPORTS = 25_000
 #: Figure that is off in the reports whose number leaves 0 by the divisor, and the checks that this breaks.
 OFF = (
     ("shots.linked", 7, ("shots-link-rate",)), ("lineup.keepers", 11, ("domain-a-goalkeeper-count",)), ("drawn.total", 13, ("goalkeeping-distribution-sum",)), ("printed.hands", 17, ("goalkeeping-distribution-printed",)),
@@ -38,9 +40,10 @@ _FAILS = {i: " + ".join([f"(k % {p} = 0)::int" for _, p, ids in OFF if i in ids]
     "WITH o AS (SELECT o_orderkey AS k FROM orders) " + " UNION ALL ".join(f"SELECT '{i}' AS \"check\", (count(*) * {_ROWS[i]} - sum({_FAILS[i]}))::bigint AS passed, sum({_FAILS[i]})::bigint AS failed, CASE WHEN sum({_FAILS[i]}) > 0 THEN 'fail' ELSE 'pass' END AS result FROM o" for i in _IDS),
 )
 def domain_checks_of_orders(spark: SparkSession, d: str) -> DataFrame:
-    """All checks over a report for each order."""
+    """All checks over a report for each order. Reports are dealt to tasks before they unfold
+    into figures, which are met in their task."""
     k = F.col("k")
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
+    orders = clustered(table(spark, d, "orders").select(F.col("o_orderkey").alias("k")), "k", REPORTS)
     off = {name: divisor for name, divisor, _ in OFF}
     value = lambda n, v: F.lit(float(v)) if n not in off else F.when(k % off[n] == 0, v + 1000.0).otherwise(float(v))
     figures = orders.select("k", F.explode(F.array(*(F.struct(F.lit(n).alias("figure"), value(n, v).alias("value")) for n, v in GOOD.items()))).alias("f")).select("k", "f.*")

@@ -26,3 +26,8 @@ def test_marks_of_a_map_are_shuffled_by_map_alone(spark):
     for name in ("cross_map", "enriched_records"):
         assert {k.split("#")[0] for k in shuffled(QUERIES[name](spark, FOLDER))} == {"k"}
     assert not any(k.startswith("l_returnflag#") and "," not in k for k in shuffled(QUERIES["keyed_markers"](spark, FOLDER)))
+
+
+def test_reports_are_dealt_before_they_unfold(spark):
+    """Else every figure of every report is shuffled."""
+    assert {k.split("#")[0] for k in shuffled(QUERIES["domain_checks"](spark, FOLDER))} == {"k", "check"}
