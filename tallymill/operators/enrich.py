@@ -39,10 +39,12 @@ def add_ids(records: DataFrame, on: str, lineups: DataFrame, names: dict[str, tu
             raise ValueError(f"{path}.{name} lies under no side and its struct has no team")
         by_name = F.col("by_name_")[sided(at, said)]
         if shirt in fields:
-            by_shirt = F.col("by_shirt_")[sided(at, struct[shirt])]
-            found = must(struct[shirt].isNotNull(), must(by_shirt.isNotNull(), must(by_name.eqNullSafe(by_shirt), by_shirt, f"{path}.{name} and its shirt name different players"), f"{path}.{shirt} is in no lineup"), f"{path}.{shirt} is missing beside a name")
+            # both looked up once: a lambda's body is evaluated for each mention
+            once = F.array(F.struct(F.col("by_shirt_")[sided(at, struct[shirt])].alias("shirt"), by_name.alias("name")))
+            agreed = lambda m: must(m["shirt"].isNotNull(), must(m["name"].eqNullSafe(m["shirt"]), m["shirt"], f"{path}.{name} and its shirt name different players"), f"{path}.{shirt} is in no lineup")
+            found = must(struct[shirt].isNotNull(), F.get(F.transform(once, agreed), F.lit(0)), f"{path}.{shirt} is missing beside a name")
         else:
-            found = must(by_name.isNotNull(), by_name, f"{path}.{name} is in no lineup")
+            found = F.get(F.transform(F.array(by_name), lambda m: must(m.isNotNull(), m, f"{path}.{name} is in no lineup")), F.lit(0))
         return F.when(said.isNotNull(), must(at.isNotNull(), found, f"{path} belongs to neither team"))
 
     def rewritten(value: Column, kind: T.DataType, side: str | None, path: str) -> Column:
