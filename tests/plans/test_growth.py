@@ -38,3 +38,33 @@ def test_no_check_was_dropped():
 
     ids = [i for i, *_ in gates.CHECKS]
     assert len(ids) == len(set(ids)) == 31 and {"marker-count", "possession-sum", "zone-sum", "top5-percent", "row-bound", "total-of-lines"} <= set(ids)
+
+
+def test_values_above_labels_meet_few(spark):
+    """Rows that the joins of the search put out grow with the points, not with their square; results are those of all pairs."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tallymill.operators import spatial
+
+    rng = random.Random(8)
+    points = [(k, rng.uniform(0, 6), rng.choice((rng.uniform(0, 300), 40.0))) for k in range(1200)]
+    df = spark.createDataFrame(points, "id long, x double, y double").withColumn("page", F.lit(1))
+    labels, values = df.where("id % 2 = 0").withColumnRenamed("id", "label"), df.where("id % 2 = 1").withColumnRenamed("id", "value")
+    got = {r.label: r.value for r in spatial.value_above(labels, values, ["page"], 3.0, 80.0).collect()}
+    want = {}
+    for i, x, y in points[::2]:
+        near = [(b - y, j) for j, a, b in points[1::2] if abs(x - a) <= 3.0 and b > y and b - y <= 80.0]
+        if near:
+            want[i] = min(near)[1]
+    assert got == want and spatial.value_above(labels, values.where("false"), ["page"], 3.0, 80.0).count() == 0
+    joins = []
+    real = spatial.Staging.keep
+    spatial_keep = lambda self, d, tag: joins.append(tag) or real(self, d, tag)
+    spatial.Staging.keep = spatial_keep
+    try:
+        spatial.value_above(labels, values, ["page"], 3.0, 80.0)
+    finally:
+        spatial.Staging.keep = real
+    assert joins.count("met") > 1  # low cells first, higher ones for the rest
