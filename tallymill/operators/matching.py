@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from tallymill.operators import linking
 
 
 def must(condition: Column, value: Column, message: str) -> Column:
@@ -96,43 +102,23 @@ def linked(markers: DataFrame, glyphs: DataFrame, rows: DataFrame, by: list[str]
     of markers with one ordinal the nearest keeps it and the others are released;
     then parts too. Claims on one word must not overlap in ``[start, end)``, and
     a part never takes an ordinal that is held. Ordinals still held twice unlink.
+    Only points go to a page's task, so it holds no more than the page has of them.
     """
-    shown = glyphs.join(rows, [*by, "ordinal"])
-    pairs = close_pairs(markers, shown, by, radius).where(F.array_contains("outcomes", F.col("outcome")))
-    columns = [*by, "marker", "glyph", "distance", "ordinal", "word", "start", "end", "whole"]
-    pairs = pairs.select(*columns)
-    schema = pairs.select(*by, "marker", "ordinal", "distance").schema
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["distance", "marker", "glyph"], ignore_index=True)
-        order = list(zip(*(pdf[c].tolist() for c in ("marker", "glyph", "ordinal", "word", "start", "end", "whole"))))
-        held, used, taken, ordinals = {}, set(), {}, set()
-
-        def greedy(whole_only: bool) -> None:
-            for at, (marker, glyph, ordinal, word, start, end, whole) in enumerate(order):
-                if marker in held or glyph in used or not whole and (whole_only or ordinal in ordinals):
-                    continue
-                if any(start < e and s < end for s, e in taken.get(word, ())):
-                    continue
-                held[marker] = at
-                used.add(glyph)
-                taken.setdefault(word, []).append((start, end))
-                ordinals.add(ordinal)
-
-        greedy(True)
-        claims = {}
-        for at in sorted(held.values()):  # by distance, then marker
-            claims.setdefault(order[at][2], []).append(at)
-        for at in (at for ats in claims.values() for at in ats[1:]):
-            marker, glyph, _, word, start, end, _ = order[at]
-            del held[marker]
-            used.discard(glyph)
-            taken[word].remove((start, end))
-        greedy(False)
-        kept = pdf.loc[sorted(held.values())]
-        return kept[~kept["ordinal"].duplicated(keep=False)][schema.names]
-
-    found = pairs.groupBy(*by).applyInPandas(choose, schema)
+    told = ["glyph", "bx", "by_", "outcome", "ordinal", "word", "start", "end", "whole"]
+    known = lambda *xy: reduce(and_, (F.abs(F.col(c)) < float("inf") for c in xy))
+    shown = glyphs.join(rows, [*by, "ordinal"]).withColumn("outcome", F.explode(F.array_distinct("outcomes"))).where(known("bx", "by_") & F.col("outcome").isNotNull()).select(*(F.col(c).alias(f"of_{c}") for c in by), *told)
+    points = markers.where(known("ax", "ay") & F.col("outcome").isNotNull()).select(*by, "marker", "ax", "ay", "outcome")
+    asked = ["marker", "ax", "ay", "outcome"]
+    schema = StructType([*points.select(*by, "marker").schema, *shown.select("ordinal").schema, *(StructField(c, DoubleType()) for c in ("ax", "ay", "bx", "by_"))])
+
+    def choose(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = lambda pdf, columns: list(zip(*(pdf[c].tolist() for c in columns)))
+        links = linking.choose(rows(left, asked), rows(right, told), radius)
+        a, b = left.iloc[[m for m, _ in links]].reset_index(drop=True), right.iloc[[g for _, g in links]].reset_index(drop=True)
+        return pd.concat([a[[*by, "marker", "ax", "ay"]], b[["ordinal", "bx", "by_"]]], axis=1)[schema.names]
+
+    found = points.groupBy(*by).cogroup(shown.groupBy(*(f"of_{c}" for c in by))).applyInPandas(choose, schema)
+    found = found.select(*by, "marker", "ordinal", F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by_")).alias("distance"))
     return markers.select(*by, "marker").join(found, [*by, "marker"], "left")
 
 
