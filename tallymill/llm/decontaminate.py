@@ -35,12 +35,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymill.llm.common import as_bytes, discard, materialize, output_name
+from tallymill.llm.common import as_bytes, discard, materialize, output_name, slices
 
 WINDOW = 10
 SHARD = 1 << 20
 BLOCK_BYTES = 8 << 20
 PART = 1 << 18
+#: Bytes of text of which the words are numbered and sorted at once where rows are removed.
+SLICE = 1 << 20
 _NOT_WORD = bytes(b for b in range(128) if not (0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A))
 _TABLE = bytes.maketrans(bytes(range(0x41, 0x5B)) + _NOT_WORD, bytes(range(0x61, 0x7B)) + b" " * len(_NOT_WORD))
 
@@ -83,11 +85,23 @@ class Tests:
         self.least = int(self.size.min()) if self.windows else 0
         self.bits = max(1, len(self.vocab).bit_length())
         self.per_key = 63 // self.bits
+        #: The keys that begin with each window's words from a depth on, as bounds for each depth.
+        self.bounds = [self._bounds(depth) for depth in range(0, int(self.size.max()) if self.windows else 0, self.per_key)]
         #: The test suffixes that begin with each window: ``suffixes[heads[w] : heads[w + 1]]``.
         order = np.argsort(np.array(which, np.int64), kind="stable")
         self.suffixes = np.array(starts, np.int64)[order]
         self.heads = np.concatenate(([0], np.cumsum(np.bincount(which, minlength=len(self.windows))))).astype(np.int64) if which else np.zeros(1, np.int64)
 
+    def _bounds(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        low, high = np.zeros(len(self.windows), np.int64), np.zeros(len(self.windows), np.int64)
+        for k, window in enumerate(self.windows):
+            chunk, value = window[depth : depth + self.per_key], 0
+            for x in chunk:
+                value = value << self.bits | x
+            rest = self.bits * (self.per_key - len(chunk))
+            low[k], high[k] = value << rest, (value + 1 << rest) - 1
+        return low, high
+
     def places(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(position, window)`` of every place of every window in a shard whose
         documents are parted by zeros; sorted by position."""
@@ -103,7 +117,7 @@ class Tests:
             return none
         padded = np.concatenate((text.astype(np.int64), np.zeros(self.per_key + self.window, np.int64)))
         group = np.zeros(len(suffix), np.int64)  # interval of the array a suffix is in, by the words so far
-        alive = {0: list(range(len(self.windows)))}  # windows in each interval
+        alive = {0: np.arange(len(self.windows))}  # windows in each interval
         found_at, found_win, depth = [], [], 0
         while len(suffix) and alive:
             key = np.zeros(len(suffix), np.int64)
@@ -115,22 +129,13 @@ class Tests:
             tails = np.append(heads[1:], len(group))
             keep, new_group, new_alive, n = [], [], {}, 0
             for lo, hi, g in zip(heads.tolist(), tails.tolist(), group[heads].tolist()):
-                part = key[lo:hi]
-                low, high, wins = [], [], alive[g]
-                for w in wins:
-                    chunk = self.windows[w][depth : depth + self.per_key]
-                    value = 0
-                    for x in chunk:
-                        value = value << self.bits | x
-                    rest = self.bits * (self.per_key - len(chunk))
-                    low.append(value << rest)
-                    high.append((value + 1 << rest) - 1)
-                at = np.searchsorted(part, np.array(low), "left")
-                to = np.searchsorted(part, np.array(high), "right")
+                part, wins = key[lo:hi], alive[g]
+                low, high = self.bounds[depth // self.per_key]
+                at = np.searchsorted(part, low[wins], "left")
+                to = np.searchsorted(part, high[wins], "right")
+                met = np.flatnonzero(at < to)
                 nexts: dict[tuple[int, int], list[int]] = {}
-                for w, s, e in zip(wins, at.tolist(), to.tolist()):
-                    if s == e:
-                        continue
+                for w, s, e in zip(wins[met].tolist(), at[met].tolist(), to[met].tolist()):
                     if len(self.windows[w]) <= depth + self.per_key:
                         found_at.append(suffix[lo + s : lo + e])
                         found_win.append(np.full(e - s, w))
@@ -139,7 +144,7 @@ class Tests:
                 for (s, e), ws in nexts.items():
                     keep.append(suffix[lo + s : lo + e])
                     new_group.append(np.full(e - s, n))
-                    new_alive[n] = ws
+                    new_alive[n] = np.array(ws)
                     n += 1
             suffix = np.concatenate(keep) if keep else none[0]
             group = np.concatenate(new_group) if keep else none[0]
@@ -321,7 +326,7 @@ def remove_contaminated(
 
     def without(left: DataFrame, tests: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole, where, SLICE)):
                 clean = [not h for _, h, *_ in _rows(tests.value, as_bytes(batch.column(where)), shard)]
                 yield pa.RecordBatch.from_arrays(batch.columns[:where], names=batch.schema.names[:where]).filter(pa.array(clean, pa.bool_()))
 

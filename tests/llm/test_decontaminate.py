@@ -90,3 +90,18 @@ def test_empty_tables(spark):
     (row,) = dc.contamination(docs, bench).collect()
     assert (row.n_words, row.n_hit, row.contaminated, row.items_sha256) == (2, 0, False, sha256(b"").hexdigest())
     assert dc.contamination(docs.limit(0), bench).count() == 0
+
+
+def test_rows_are_removed_in_small_parts(spark, monkeypatch):
+    """What a task sorts at once follows the slice of texts, not the batch of rows."""
+    import pyarrow as pa
+
+    seen, real = [], dc._rows
+    monkeypatch.setattr(dc, "_rows", lambda tests, texts, shard: seen.append(sum(map(len, texts))) or real(tests, texts, shard))
+    passage = "one two three four five six seven eight nine ten"
+    texts = [f"{k} " * 4000 + (passage if k % 7 == 0 else "") for k in range(600)]
+    monkeypatch.setattr(type(spark.createDataFrame([(1,)], "a int")), "mapInArrow", lambda df, run, schema: list(run(iter([pa.RecordBatch.from_pylist(df.toPandas().to_dict("records"))]))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([("i", passage)], "item_id string, text string")
+    kept = [i for batch in dc.remove_contaminated(docs, bench) for i in batch.column(0).to_pylist()]
+    assert kept == [k for k in range(600) if k % 7] and max(seen) <= dc.SLICE + max(map(len, texts)) < sum(map(len, texts)) / 4
