@@ -10,15 +10,17 @@
    with probability 0.97, of 0.85 with 0.99, of 0.9 with 0.999.
 4. Four bits of each minimum are kept. Two lines of which fewer than ``AGREE`` of
    the 15 agree are no candidates; at similarity 0.8 that loses one pair in 1,600.
-5. Each band bucket links its members to two representatives, its first and its last.
-6. After the verified links are contracted, members of *different* components in one
-   bucket are compared by odd sketches: ``WORDS`` words of parities of the hashes of a
-   set. As many bits as two sketches differ in, so many shingles at least are in one
-   set alone, so a pair that the threshold's bound rules out is none for certain. The
-   join puts out each pair once, in its first common bucket, and only pairs close to
-   the threshold or above it, however crowded the bucket is (sketches of lines of over
-   about 2,300 characters rule out less). ``PICKS`` rounds verify for each line the pair
-   of the closest sketch; what still joins different components then is verified too.
+5. Each band bucket links its members to one representative, its first.
+6. After the verified links are contracted, a bucket that holds several components has
+   strays: members outside its largest component. Pairs are compared by odd
+   sketches: ``WORDS`` words of parities of the hashes of a set. As many bits as two
+   sketches differ in, so many shingles at least are in one set alone, so a pair that
+   the threshold's bound rules out is none for certain (sketches of lines of over about
+   2,300 characters rule out less). First each stray meets ``HUBS`` members of its
+   bucket, and of those of other components the ``PICKS`` of closest sketch are verified;
+   most of a crowd of near copies is one component then. What is a stray after that
+   meets all members of other components, so no candidate is left out, and rows grow
+   with the strays and not with the square of the bucket.
 7. Candidates are verified by exact Jaccard similarity of their shingle sets;
    distributed union-find makes components; the first place of each (lowest
    ``doc_id``, then line number) stays.
@@ -35,9 +37,8 @@ lines of null ids come after all others; extra columns pass through.
 from __future__ import annotations
 
 import random
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymill.llm.common import components, discard, materialize, output_name
@@ -51,8 +52,10 @@ STEP = 8
 AGREE = 7
 #: Words of 64 parities in an odd sketch.
 WORDS = 16
-#: Rounds in which each line tests its likeliest partner before the rest is tested.
-PICKS = 1
+#: Members of a bucket that its strays meet before they meet all.
+HUBS = 16
+#: Of those, so many of the closest are verified.
+PICKS = 3
 BROADCAST_BYTES = 32 << 20
 _RANDOM = random.Random(17)
 _MASKS = [_RANDOM.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
@@ -172,33 +175,43 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return kept(verified(pairs, texts, similarity, shingle), "line-links")
 
     reps = sig.select(F.col("node").alias("rep"), F.col("marks").alias("marked"))
-    first = met.select("node", "marks", F.explode(F.array("rep", "end")).alias("rep")).where("node <> rep").distinct().join(reps, "rep").where(_alike("marks", "marked")).select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b"))
+    first = met.where("node <> rep").select("node", "marks", "rep").distinct().join(reps, "rep").where(_alike("marks", "marked")).select(F.greatest("node", "rep").alias("a"), F.least("node", "rep").alias("b"))
     first = kept(first.distinct(), "line-pairs")
     # the one pair of a bucket of two is settled by its marks; larger buckets may hold further pairs
     touched = first.select(F.explode(F.array("a", "b")).alias("node")).unionByName(met.where("size > 2").select("node")).distinct()
     texts = kept(_texts(lines, sig.select("node", "h1", "h2").join(touched, "node", "left_semi"), shingle), "line-texts")
     links = linked(first)
 
-    # members of the buckets that hold different components
-    rooted = met.where("size > 2").join(components(links), "node", "left").select("key", "node", F.coalesce("component", "node").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_ = kept(rooted.join(mixed, "key", "left_semi"), "line-open")
-    told = texts.drop("code").join(sig.select("node", "bands", "marks"), "node")
-    full = open_.join(told, "node")
-    x, y = (full.select("key", *(F.col(c).alias(c + side) for c in ("node", "root", "bands", "marks", "n", *_CELLS))) for side in "ab")
-    once = x["key"] == F.array_min(F.array_intersect("bandsa", "bandsb"))
-    on = (x["key"] == y["key"]) & (F.col("nodea") > F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & _alike("marksa", "marksb") & _near("a", "b", similarity) & once
-    more = x.join(y, on).select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"), _apart("a", "b").alias("apart"))
-    more, tried = kept(more, "line-pairs"), first
-    for k in range(PICKS + 1):
-        found = components(links)
-        ends = [found.select(F.col("node").alias(c), F.col("component").alias("c" + c)) for c in "ab"]
-        live = more.join(tried, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
-        live = live.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "apart")
-        if k < PICKS:
-            best = (live.groupBy(c).agg(F.min(F.struct("apart", "a", "b")).alias("pick")).select("pick.a", "pick.b") for c in "ab")
-            live = reduce(DataFrame.unionByName, best).distinct()
-        pairs = kept(live.select("a", "b"), "line-picks")
+    told = texts.drop("code").join(sig.select("node", "marks"), "node")
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("key", *(F.col(c).alias(c + name) for c in ("node", "root", "main", "marks", "n", *_CELLS)))
+
+    def met_by_strays(found: DataFrame, hubs: int | None) -> DataFrame:
+        """``(a, b)``: pairs of different components in one bucket, of which one is outside
+        the bucket's largest component; with ``hubs`` the
+        closest of each stray to so many members."""
+        rooted = met.where("size > 2").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("root"))
+        parts = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("parts"))
+        open_ = kept(rooted.join(parts.where("parts > 1").select("key", "main"), "key"), "line-open")
+        full = open_.join(told, "node")
+        partners = full
+        if hubs:
+            order = Window.partitionBy("key").orderBy(F.xxhash64("node"), "node")
+            partners = open_.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= hubs).drop("turn").join(told, "node")
+        x, y = side(full.where("root <> main"), "a"), side(partners, "b")
+        on = (x["key"] == y["key"]) & (F.col("roota") != F.col("rootb")) & _alike("marksa", "marksb") & _near("a", "b", similarity)
+        if not hubs:
+            on = on & ((F.col("nodea") > F.col("nodeb")) | (F.col("rootb") == F.col("mainb")))
+        pairs = x.join(y, on).select(F.greatest("nodea", "nodeb").alias("a"), F.least("nodea", "nodeb").alias("b"), F.col("nodea").alias("stray"), _apart("a", "b").alias("apart"))
+        if hubs:
+            closest = F.slice(F.array_sort(F.collect_set(F.struct("apart", "a", "b"))), 1, PICKS)
+            pairs = pairs.groupBy("stray").agg(closest.alias("picks")).select(F.explode("picks").alias("pick")).select("pick.*")
+        return pairs.select("a", "b").distinct()
+
+    tried = first
+    for hubs in (HUBS, None):
+        pairs = kept(met_by_strays(components(links), hubs).join(tried, ["a", "b"], "left_anti"), "line-pairs")
         links, tried = links.unionByName(linked(pairs)), tried.unionByName(pairs)
     node_class = components(links)
 

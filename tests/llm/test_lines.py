@@ -119,3 +119,26 @@ def test_bands_find_pairs_at_the_threshold():
             equal = (h[:n, None] ^ masks).min(axis=0) == (h[n - common :, None] ^ masks).min(axis=0)
             found += equal.reshape(lines.BANDS, lines.ROWS).all(axis=1).any() and equal.sum() >= lines.AGREE
         assert found / 800 >= least
+
+
+def test_crowd_puts_out_few_pairs(spark, monkeypatch):
+    """Near copies of one line, most of them similar to each other: candidates grow with the lines and not with their square."""
+    rng = random.Random(12)
+    base = [f"{rng.choice('abcdefgh')}{rng.randrange(10**5)}" for _ in range(45)]
+    rows = []
+    for k in range(400):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3])):
+            w[rng.randrange(45)] = f"{rng.choice('abcdefgh')}{rng.randrange(10**5)}"
+        rows.append((k, " ".join(w)))
+    pairs, real = [], lines.materialize
+
+    def counted(df, tag):
+        out = real(df, tag)
+        if tag == "line-pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(lines, "materialize", counted)
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(brute(rows)) and sum(pairs) < 20 * len(rows)
