@@ -20,9 +20,21 @@ from tallymill.llm import bpe, decontaminate, lines, near, quality
 from tallymill.llm.common import discard, materialize
 from tallymill.llm.queries import tokenizer_file
 
+#: Rows of an Arrow batch at most. Executors and their Python workers hold whole batches
+#: of texts, and Spark's usual 10,000 rows are a whole task here.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session hold ``BATCH_ROWS`` rows at most from now on."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, BATCH_ROWS)
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    _small_batches(spark)
     return quality.keep_good(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -36,16 +48,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: SimHash links, and Jaccard
     similarity of five-word shingles from 0.8 on."""
+    _small_batches(spark)
     return near.drop_near_copies(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
+    _small_batches(spark)
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with the digest of what they decode to."""
+    _small_batches(spark)
     return bpe.encode_corpus(docs, tokenizer_file())
 
 

@@ -27,6 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymill.llm.common import slices
+
+#: Bytes of texts that are cut into words at once.
+SLICE = 1 << 20
 #: Fixed value: the pre-tokenizer's pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NEVER = np.iinfo(np.int64).max
@@ -42,8 +46,8 @@ def _byte_letters() -> dict[str, int]:
 class Codec:
     """Vocabulary, merges and the caches of one process."""
 
-    #: Words kept in the cache before it starts anew (bounds the memory).
-    KEEP = 1_000_000
+    #: Words kept in the cache; beyond them those of the texts at hand stay (bounds the memory).
+    KEEP = 100_000
     #: Longer words are not kept.
     KEEP_BYTES = 64
 
@@ -197,7 +201,7 @@ class Codec:
                 if type(p) is list:
                     seen.update(p)
         if len(self.cache) > self.KEEP:
-            self.cache.clear()
+            self.cache = {w: self.cache[w] for w in seen if w in self.cache}
         fresh = self.learn(w for w in seen if w not in self.cache)
         self.cache.update((w, t) for w, t in fresh.items() if len(w) <= self.KEEP_BYTES)
         look = {w: t for w, t in fresh.items() if len(w) > self.KEEP_BYTES}
@@ -235,8 +239,7 @@ def _with_tokens(docs: DataFrame, tokenizer_file: str, id_col: str, text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):  # bounds the words held at once
-                part = batch.slice(at, 500)
+            for part in slices(batch, 1, SLICE):  # bounds the words held at once
                 rows = [row(codec, ids) for ids in codec.encode_batch(part.column(1).to_pylist())]
                 columns = [part.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds[1:]))]
                 yield pa.RecordBatch.from_arrays(columns, names=names)

@@ -321,16 +321,18 @@ def remove_contaminated(
     several blocks each removes its own, one after the other."""
     spark = docs.sparkSession
     count, gather = _blocks(bench, item_col, item_text_col, window, block_bytes)
-    probe = output_name(docs.columns, "probe")
-    where = len(docs.columns)
+    probe, width = output_name(docs.columns, "probe"), len(docs.columns)
+    # a text that is a string already does not travel twice
+    plain = dict(docs.dtypes).get(text_col) == "string"
+    where = docs.columns.index(text_col) if plain else width
 
     def without(left: DataFrame, tests: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in (part for whole in batches for part in slices(whole, where, SLICE)):
                 clean = [not h for _, h, *_ in _rows(tests.value, as_bytes(batch.column(where)), shard)]
-                yield pa.RecordBatch.from_arrays(batch.columns[:where], names=batch.schema.names[:where]).filter(pa.array(clean, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(batch.columns[:width], names=batch.schema.names[:width]).filter(pa.array(clean, pa.bool_()))
 
-        return left.withColumn(probe, F.col(text_col).cast("string")).mapInArrow(run, docs.schema)
+        return (left if plain else left.withColumn(probe, F.col(text_col).cast("string"))).mapInArrow(run, docs.schema)
 
     left, old = docs, None
     for k in range(count):

@@ -53,3 +53,22 @@ def test_operator(spark, library):
     assert digests[1].ids_sha256 == sha256(",".join(map(str, ids)).encode()).hexdigest()
     assert digests[1].decoded_sha256 == sha256(b"Hello  world").hexdigest()
     assert bpe.encode(df.limit(0), tokenizer_file()).count() == 0
+
+
+def test_cache_is_bounded_and_texts_are_cut_by_bytes(spark, library, monkeypatch):
+    """Beyond the bound the words of the texts at hand stay; a batch of long texts is not cut into words as a whole."""
+    with open(tokenizer_file(), encoding="utf-8") as f:
+        codec = bpe.Codec(f.read())
+    assert codec.KEEP <= 100_000
+    monkeypatch.setattr(codec, "KEEP", 300, raising=False)
+    common = "the cat sat on the mat "
+    for k in range(20):
+        texts = [common + " ".join(f"w{k}x{j}{'abcdefgh'[j % 8]}q{j * 7919}" for j in range(200))]
+        assert list(codec.encode_batch(texts)) == [library.encode(texts[0], add_special_tokens=False).ids]
+        assert len(codec.cache) < 3000 and " cat" in codec.cache
+
+    monkeypatch.setattr(bpe, "SLICE", 1000)
+    rows = [(k, "ab cd " * 100 + str(k)) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = {r.doc_id: list(r.ids) for r in bpe.encode(df, tokenizer_file()).collect()}
+    assert out == {k: library.encode(t, add_special_tokens=False).ids for k, t in rows}

@@ -71,3 +71,19 @@ def test_empty_tables(spark, tmp_path):
     for table, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{table}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_arrow_batches_small(spark, tmp_path):
+    """Stages with Python workers bound the rows that are held at once, and leave a smaller bound as it is."""
+    key = corpus_pipeline._BATCH
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    try:
+        for found, wanted in (("10000", corpus_pipeline.BATCH_ROWS), ("0", corpus_pipeline.BATCH_ROWS), ("7", 7)):
+            for name, stage in corpus_pipeline.STAGES[3:]:
+                spark.conf.set(key, found)
+                stage(spark, docs, str(tmp_path))
+                assert int(spark.conf.get(key)) == wanted, name
+    finally:
+        spark.conf.set(key, before)
