@@ -47,7 +47,7 @@ SIMILARITY = 0.8
 SHINGLE = 8
 BANDS, ROWS = 5, 3
 #: Shingles that one generated row hashes.
-STEP = 8
+STEP = 16
 #: Of the kept parts of the minima, so many agree in every candidate.
 AGREE = 7
 #: Words of 64 parities in an odd sketch.
@@ -152,8 +152,10 @@ def _texts(lines: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     sets = _hashed(texts, shingle).groupBy("node").agg(F.array_distinct(_gathered()).alias("set"))
     each = sets.select("node", F.explode("set").alias("h"))
     bit, word = F.shiftright("h", 8).bitwiseAND(F.lit(63).cast("long")).cast("int"), F.col("h").bitwiseAND(F.lit(WORDS - 1).cast("long"))
-    parts = (F.coalesce(F.bit_xor(F.when(word == w, F.call_function("shiftleft", F.lit(1).cast("long"), bit))), F.lit(0).cast("long")).alias(c) for w, c in enumerate(_CELLS))
-    return texts.join(each.groupBy("node").agg(F.count("*").alias("n"), *parts), "node")
+    # a hash goes to one word of its sketch; the words are put side by side afterwards
+    odd = each.groupBy("node", word.alias("word")).agg(F.count("*").alias("n"), F.bit_xor(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("odd"))
+    parts = (F.coalesce(F.max(F.when(F.col("word") == w, F.col("odd"))), F.lit(0).cast("long")).alias(c) for w, c in enumerate(_CELLS))
+    return texts.join(odd.groupBy("node").agg(F.sum("n").alias("n"), *parts), "node")
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
