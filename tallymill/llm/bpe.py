@@ -4,9 +4,11 @@ A word (a piece of the pre-tokenizer) is first cut greedily into the longest
 tokens of the vocabulary. A cut is the true BPE result exactly when each token
 is what merging makes of its own bytes and each adjacent pair is compatible,
 that is, no merge across the pair's border would have come before the merges
-that made the two tokens. The pairs of all new words of a batch are checked
+that made the two tokens. All new words of a batch are cut, checked and repaired
 together, by array operations; only words with a failing pair are merged
-exactly. Results are kept per word, so frequent words are cut once a process.
+exactly, one merge of each of them at a time. A word of over ``KEEP_BYTES`` is
+cut and merged alone. Results are kept per word, so frequent words are cut once
+a process.
 
 Defined results: a null text is an empty one and has no tokens; every row gives
 one row, repeated ids included; other columns are not read. The special token's
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from bisect import bisect
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
 from itertools import chain
@@ -29,11 +32,15 @@ from pyspark.sql import functions as F
 
 from tallymill.llm.common import slices
 
+#: Words that are merged together.
+TOGETHER = 4096
 #: Bytes of texts that are cut into words at once.
 SLICE = 1 << 20
 #: Fixed value: the pre-tokenizer's pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NEVER = np.iinfo(np.int64).max
+#: Bytes and the end of a word.
+_STRIDE = 257
 
 
 def _byte_letters() -> dict[str, int]:
@@ -83,16 +90,24 @@ class Codec:
         order = np.argsort(code)
         self._size, self._code = size, code[order]
         self._order = np.array([k for k, _ in self.rank.values()], np.int64)[order]
+        self._result = np.array([t for _, t in self.rank.values()], np.int64)[order]
+        self._byte = np.array([self.id_of.get(bytes([b]), -1) for b in range(256)], np.int64)
+        # prefixes of tokens, by length and then by bytes: the k-th edge from a prefix to one longer by a byte leads to the prefix k + 1
+        prefixes = sorted({b[:k] for b in self.id_of for k in range(len(b) + 1)}, key=lambda p: (len(p), p))
+        number = {p: k for k, p in enumerate(prefixes)}
+        self._edges = np.array([number[p[:-1]] * _STRIDE + p[-1] for p in prefixes[1:]], np.int64)
+        self._token = np.array([self.id_of.get(p, -1) for p in prefixes], np.int64)
         self.sound = self._sound()
         self.words = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
         self.cache: dict[str, tuple[int, ...]] = {}
 
-    def _pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Order of the merge of each pair, or a number above all."""
-        want = a * self._size + b
+    def _merges(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order of the merge of each pair, or a number above all, and the token it makes; -1 has no merge."""
+        want = np.where(b < 0, -1, a * self._size + b)
         at = np.minimum(np.searchsorted(self._code, want), len(self._code) - 1)
-        return np.where(self._code[at] == want, self._order[at], _NEVER)
+        met = self._code[at] == want
+        return np.where(met, self._order[at], _NEVER), np.where(met, self._result[at], -1)
 
     def compatible(self, a: np.ndarray, b: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
         """Whether merging the bytes of a and b together leaves them apart.
@@ -112,7 +127,7 @@ class Codec:
         until = np.full(len(a), _NEVER, np.int64) if own is None else own * 2
         while len(live):
             x, y = a[live], b[live]
-            order = self._pair_rank(x, y)
+            order, _ = self._merges(x, y)
             bad = (order != _NEVER) & (np.minimum(order, _NEVER // 4) * 2 + 1 <= until[live])
             ok[live[bad]] = False
             live, x, y = live[~bad], x[~bad], y[~bad]
@@ -136,7 +151,7 @@ class Codec:
             good[t] = ok and good[self.half[0, t]] and good[self.half[1, t]]
         return good
 
-    def propose(self, word: bytes) -> list[int] | None:
+    def propose(self, word: bytes) -> list[int]:
         """Greedy cut into the longest tokens from the left."""
         out, at, ids, n = [], 0, self.id_of, len(word)
         while at < n:
@@ -147,9 +162,43 @@ class Codec:
                     at = end
                     break
             else:
-                return None
+                raise ValueError("the vocabulary lacks a byte")
         return out
 
+    def propose_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy cuts of all words: their tokens one after another, and the word of each."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        end = np.cumsum(sizes) - 1
+        data = np.zeros(int(sizes.sum()), np.int64)
+        inside = np.ones(len(data), bool)
+        data[end], inside[end] = _STRIDE - 1, False
+        data[inside] = np.frombuffer(b"".join(words), np.uint8)
+        found = np.full(len(data), -2, np.int64)
+        # a word is at the token that begins at ``at``; its bytes before ``pos`` are the prefix ``node``
+        at = end - sizes + 1
+        at, end = at[at < end], end[at < end]
+        pos, upto, node, best = at.copy(), at + 1, np.zeros_like(at), np.full_like(at, -1)
+        while len(at):
+            want = node * _STRIDE + data[pos]
+            edge = np.minimum(np.searchsorted(self._edges, want), len(self._edges) - 1)
+            hit = self._edges[edge] == want
+            node, pos = np.where(hit, edge + 1, 0), pos + hit
+            token = self._token[node]
+            longer = hit & (token >= 0)
+            best, upto = np.where(longer, token, best), np.where(longer, pos, upto)
+            miss = np.flatnonzero(~hit)
+            if len(miss):
+                found[at[miss]] = best[miss]
+                at[miss] = pos[miss] = upto[miss]
+                best[miss], upto[miss] = -1, at[miss] + 1
+                live = at < end
+                if not live.all():
+                    at, end, pos, upto, node, best = (x[live] for x in (at, end, pos, upto, node, best))
+        if (found == -1).any():
+            raise ValueError("the vocabulary lacks a byte")
+        cut = np.flatnonzero(found >= 0)
+        return found[cut], np.repeat(np.arange(len(words)), sizes)[cut]
+
     def merge(self, word: bytes) -> list[int]:
         """Exact merging: the earliest merge first, the leftmost of equals."""
         n = len(word)
@@ -173,23 +222,66 @@ class Codec:
                 heapq.heappush(heap, (hit[0], before[i], hit[1]))
         return [token[i] for i in range(n) if alive[i]]
 
+    def merge_all(self, words: list[bytes]) -> Iterator[tuple[int, tuple[int, ...]]]:
+        """The place of each word and what ``merge`` makes of it; words of like length share an array."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(sizes, kind="stable")
+        for s in range(0, len(order), TOGETHER):
+            part = order[s : s + TOGETHER]
+            yield from zip(part.tolist(), self._merged(b"".join(map(words.__getitem__, part)), sizes[part]))
+
+    def _merged(self, data: bytes, sizes: np.ndarray) -> Iterator[tuple[int, ...]]:
+        """Each round makes the next merge of every word."""
+        n, width = len(sizes), int(sizes.max())
+        token = np.full((n, width + 1), -1, np.int64)
+        token[np.arange(width + 1) < sizes[:, None]] = self._byte[np.frombuffer(data, np.uint8)]
+        token = token.ravel()
+        cells = np.arange(len(token))
+        after, before = cells + 1, cells - 1
+        order, made = self._merges(token, np.append(token[1:], -1))
+        table, rows = order.reshape(n, -1), np.arange(n)
+        while len(rows):
+            at = table[rows].argmin(axis=1) + rows * (width + 1)
+            open_ = order[at] != _NEVER
+            rows, at = rows[open_], at[open_]
+            gone = after[at]
+            right = after[gone]
+            token[at], token[gone], order[gone] = made[at], -1, _NEVER
+            after[at], before[right] = right, at
+            order[at], made[at] = self._merges(token[at], token[right])
+            at = at[at > rows * (width + 1)]
+            left = before[at]
+            order[left], made[left] = self._merges(token[left], token[at])
+        kept = (token >= 0).reshape(n, -1).sum(axis=1).cumsum().tolist()
+        ids = tuple(token[token >= 0].tolist())
+        return (ids[s:e] for s, e in zip([0, *kept], kept))
+
     def learn(self, new: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """Tokens of words that are not in the cache: speculate, verify, repair."""
-        new = list(new)
-        raw = [w.encode() for w in new]
-        cuts = list(map(self.propose, raw))
-        sizes = np.fromiter((len(c) if c else 0 for c in cuts), np.int64, len(cuts))
-        flat = np.fromiter(chain.from_iterable(c or () for c in cuts), np.int64, int(sizes.sum()))
-        word = np.repeat(np.arange(len(cuts)), sizes)
-        failed = np.zeros(len(cuts), bool)
+        new = sorted(new, key=len)
+        raw = list(map(str.encode, new))
+        n = bisect(new, self.KEEP_BYTES, key=len)
+        flat, word = self.propose_all(raw[:n])
+        if n < len(raw):
+            cuts = list(map(self.propose, raw[n:]))
+            flat = np.concatenate([flat, np.fromiter(chain.from_iterable(cuts), np.int64)])
+            word = np.concatenate([word, np.repeat(np.arange(n, len(raw)), list(map(len, cuts)))])
+        failed = np.zeros(len(raw), bool)
         failed[word[~self.sound[flat]]] = True
         inner = np.flatnonzero(word[1:] == word[:-1])
         pairs, back = np.unique(flat[inner] * self._size + flat[inner + 1], return_inverse=True)
         apart = self.compatible(pairs // self._size, pairs % self._size)
         failed[word[inner[~apart[back]]]] = True
-        failed |= np.fromiter((c is None for c in cuts), bool, len(cuts))
         self.repaired = int(failed.sum())
-        return {w: tuple(self.merge(b) if bad else c) for w, b, c, bad in zip(new, raw, cuts, failed.tolist())}
+        ends, ids = np.bincount(word, minlength=len(raw)).cumsum().tolist(), tuple(flat.tolist())
+        out = [ids[s:e] for s, e in zip([0, *ends], ends)]
+        bad = np.flatnonzero(failed).tolist()
+        short = [k for k in bad if k < n]
+        for k, tokens in self.merge_all([raw[k] for k in short]):
+            out[short[k]] = tokens
+        for k in bad[len(short) :]:
+            out[k] = tuple(self.merge(raw[k]))
+        return dict(zip(new, out))
 
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
         """Token ids of each text."""

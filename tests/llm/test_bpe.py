@@ -72,3 +72,29 @@ def test_cache_is_bounded_and_texts_are_cut_by_bytes(spark, library, monkeypatch
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     out = {r.doc_id: list(r.ids) for r in bpe.encode(df, tokenizer_file()).collect()}
     assert out == {k: library.encode(t, add_special_tokens=False).ids for k, t in rows}
+
+
+def test_rare_words_are_cut_and_merged_together(library, monkeypatch):
+    """New words of a usual length are neither cut nor merged one at a time, and come out as merging each alone makes them."""
+    with open(tokenizer_file(), encoding="utf-8") as f:
+        codec = bpe.Codec(f.read())
+    rng = random.Random(9)
+    parts = ["eux", "ñ", "ción", "heit", "aaa", "ab", "ß", "the", "漢", "0", "--", "é", "tre", "x", "😀"]
+    words = ["".join(rng.choices(parts, k=rng.randint(1, 16))) for _ in range(6000)] + ["a" * k for k in range(1, 65)]
+    raw = [w.encode() for w in dict.fromkeys(words)]
+    monkeypatch.setattr(bpe, "TOGETHER", 500)
+    merged = dict(codec.merge_all(raw))
+    assert [list(merged[k]) for k in range(len(raw))] == list(map(codec.merge, raw))
+    flat, word = codec.propose_all(raw)
+    greedy = [[] for _ in raw]
+    for t, k in zip(flat.tolist(), word.tolist()):
+        greedy[k].append(t)
+    assert greedy == list(map(codec.propose, raw))
+
+    alone = []
+    for name in ("merge", "propose"):
+        monkeypatch.setattr(codec, name, lambda b, f=getattr(codec, name): alone.append(b) or f(b))
+    texts = [" ".join(words[k : k + 50]) for k in range(0, len(words), 50)]
+    got = list(codec.encode_batch(texts))
+    assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert codec.repaired > 1000 and all(len(b.decode()) > codec.KEEP_BYTES for b in alone)
